@@ -34,7 +34,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five-word shingles, similarity 0.8), that with the smallest doc_id (null last)."""
     located = docs.select("doc_id", "text", _FILE.alias("file"), _ROW.alias("row"))
-    groups = simhash.simhash_groups(located, simhash.WIDE_SHINGLE, simhash.WIDE_RADIUS, simhash.WIDE_WORDS, ("file", "row"))
+    groups = simhash.near_copies(located)
     first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("first"))
     return _only(docs, first.select("first.file", "first.row"))
 

@@ -51,3 +51,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+#: Bits of the filter that prefiltered() broadcasts: 4 MB.
+FILTER_BITS = 1 << 25
+
+
+def prefiltered(df: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows of df whose cols occur in keys, and some others: a filter before a join, by a bitmap of hashes.
+
+    The bitmap is broadcast, and has FILTER_BITS bits for any input; as it fills up, more rows pass in vain."""
+    place = F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
+    bitmap = (
+        keys.select(F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place).alias("__bit"))
+        .groupBy("__bucket")
+        .agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    )
+    rows = df.withColumns({"__bucket": F.bitmap_bucket_number(place), "__bit": F.bitmap_bit_position(place)})
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(__bit % 8 as int))")) != 0
+    # at most FILTER_BITS / 32768 rows of 4 KB
+    return rows.join(F.broadcast(bitmap), "__bucket").where(hit).select(*df.columns)

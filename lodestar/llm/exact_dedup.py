@@ -8,8 +8,7 @@ that were hit more than once are then checked on their full bytes: the smallest
 a digest must be the same string. Where they aren't, the digest collided and its rows are grouped by the bytes.
 
 Scale. The text is read twice and never shuffled as a whole: only digests that have hits are aggregated, found by
-a bitmap of fixed size (HIT_BITS bits, so its broadcast has a proven bound; once it fills up, it only filters
-less). Aggregations combine within tasks first, so a text that a third of all rows share sends one row a task.
+a bitmap of fixed size (so its broadcast has a proven bound; as it fills up, it only filters less). Aggregations combine within tasks first, so a text that a third of all rows share sends one row a task.
 
 Defined cases. A null text counts as empty. Null doc_ids sort last and are kept only if no row of the group has one;
 keep_id is then null. Rows that repeat in full are separate members of their group; one of them stays (the first by
@@ -21,10 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, read_table, scratch, text_or_empty
-
-#: Bits of the filter for digests with hits: 4 MB.
-HIT_BITS = 1 << 25
+from .common import SPACE, cut, prefiltered, read_table, scratch, text_or_empty
 
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -95,22 +91,6 @@ class StreamingDedup:
         return latest.groupBy("digest").agg(F.max_by(F.struct("least", "size"), "batch").alias("s")).select("digest", "s.*")
 
 
-def _with_hits(docs: DataFrame, groups: DataFrame, digest) -> DataFrame:
-    """digest and normalised text of (at least) all rows whose digest has more than one row."""
-    place = F.pmod(F.xxhash64("digest"), F.lit(HIT_BITS))
-    bitmap = (
-        groups.where("size > 1")
-        .select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-        .groupBy("bucket")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
-    )
-    rows = docs.select(normalised().alias("norm")).select(digest(F.col("norm")).alias("digest"), "norm")
-    rows = rows.withColumns({"bucket": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)})
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    # at most HIT_BITS / 32768 rows of 4 KB, whatever the input
-    return rows.join(F.broadcast(bitmap), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).select("digest", "norm")
-
-
 def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and the row's locator (file, row).
 
@@ -119,7 +99,8 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     store = StreamingDedup(spark, scratch(spark, "exact-dedup"), digest)
     store.ingest(docs)
     groups = store.groups()
-    checked = _with_hits(docs, groups, digest).groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
+    norms = docs.select(normalised().alias("norm")).select(digest(F.col("norm")).alias("digest"), "norm")
+    checked = prefiltered(norms, groups.where("size > 1"), ["digest"]).groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
     collided = cut(checked.where("lo <> hi").select("digest"), "collided")
     rows = store.keyed()
     if not collided.isEmpty():

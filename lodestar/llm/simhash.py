@@ -13,10 +13,11 @@ few bits left that a shard can't exceed 2^15 values: a hot group never is one ta
 searches it by the shuffle on the route, not by a broadcast from the driver, since all trees together are the
 fingerprints of all documents, which mustn't pass through the driver.
 
-With wide fingerprints (`words` over 1; the pipeline's stage) the radius is a share of the bits and no exact routes exist:
-there, every BAND bits are a route, which two documents miss together with a probability that `bands_miss` states. Within such
-a radius a tree can't prune much, so each group of a shard has trees of its own, searched up to the first hit: a group of near copies costs
-one hit each. Unrelated documents share a shard by chance, N / 2^BAND of them; BAND is to grow with the logarithm of the corpus.
+Near copies at a similarity of 0.8 (the pipeline's stage) differ in too many of 64 bits for that. `near_copies` takes WIDE_WORDS x 64 bits of
+the set of five-word shingles, and every BAND bits as a route, which two documents miss together with a probability that
+`bands_miss` states (2 % at a similarity of 0.8, less above). A shard's tree gives each document the nearest one of each group within WIDE_RADIUS,
+and an exact check of the Jaccard similarity of these pairs follows. Unrelated documents share a shard by chance, N / 2^BAND of
+them, so BAND is to grow with the logarithm of the corpus.
 
 Defined cases. A null or empty text, or one without a word, has fingerprint 0 and links like any other. Fewer words than
 a shingle: the whole sequence is the only shingle. Null doc_ids: they join groups, and component_id is the smallest doc_id
@@ -36,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut, read_table
+from .common import cut, prefiltered, read_table
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints in a shard before it refines itself.
 SHARD_ROWS = 4096
 #: Bits of a route of wide fingerprints.
-BAND = 14
+BAND = 13
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # high bit first
 _NO_ID = (1 << 63) - (1 << 40)
@@ -87,12 +88,13 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, words: int = 1, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, the columns to carry along, and print."""
+    """doc_id, the columns to carry along, and print. Wide prints are those of the set of shingles, without repeats."""
     kept = docs.select("doc_id", *carry)
 
     def tasks(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            prints = [fingerprint(shingle_hashes(t, size), words) for t in b.column("text").to_pylist()]
+            hashes = (shingle_hashes(t, size) for t in b.column("text").to_pylist())
+            prints = [fingerprint(h if words == 1 else np.unique(h), words) for h in hashes]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(prints, pa.binary())], names=[*b.schema.names[1:], "print"])
 
     schema = StructType([*kept.schema.fields, StructField("print", BinaryType())])
@@ -164,13 +166,14 @@ class BKTree:
             node = node.below[d]
         node.below[d] = BKTree(value)
 
-    def within(self, value: int, radius: int) -> Iterator[int]:
+    def within(self, value: int, radius: int) -> Iterator[tuple[int, int]]:
+        """Values within the radius, with their distances."""
         stack = [self]
         while stack:
             node = stack.pop()
             d = (node.value ^ value).bit_count()
             if d <= radius:
-                yield node.value
+                yield node.value, d
             below = node.below
             if len(below) <= 2 * radius + 1:
                 stack += [c for k, c in below.items() if d - radius <= k <= d + radius]
@@ -178,8 +181,11 @@ class BKTree:
                 stack += [below[k] for k in range(d - radius, d + radius + 1) if k in below]
 
 
-def shard_groups(values: list[int], radius: int) -> list[list[int]]:
-    """Groups of distinct values that links within the radius connect: one tree, every value searched in full."""
+def shard_links(vertices: list[int], prints: list[bytes], radius: int, nearest: bool = False) -> Iterator[tuple[int, int]]:
+    """Links within the radius between a shard's fingerprints: from each but the first of a connected group to that first one; or,
+    nearest, from each fingerprint to the nearest one of each group that came before it."""
+    vertex = {int.from_bytes(p, "big"): v for p, v in zip(prints, vertices, strict=True)}
+    values = sorted(vertex, key=vertex.get)
     parent: dict[int, int] = {}
     tree = None
 
@@ -193,54 +199,22 @@ def shard_groups(values: list[int], radius: int) -> list[list[int]]:
         if tree is None:
             tree = BKTree(v)
             continue
-        for near in tree.within(v, radius):
-            a, b = root(v), root(near)
-            if a != b:
-                parent[a] = b
+        best: dict[int, tuple[int, int]] = {}
+        for near, d in tree.within(v, radius):
+            r = root(near)
+            best[r] = min(best.get(r, (d, near)), (d, near))
+        for r, (_, near) in best.items():
+            parent[max(r, root(v), key=vertex.get)] = min(r, root(v), key=vertex.get)
+            if nearest:
+                yield vertex[v], vertex[near]
         tree.add(v)
-    groups: dict[int, list[int]] = {}
-    for v in values:
-        groups.setdefault(root(v), []).append(v)
-    return list(groups.values())
-
-
-def forest_groups(values: list[int], radius: int) -> list[list[int]]:
-    """The same groups by a tree (or several, once groups have met) for each group, searched up to the first hit."""
-    groups: list[tuple[list[int], list[BKTree]]] = []
-    for v in values:
-        hit, rest = None, []
-        for g in groups:
-            if any(next(t.within(v, radius), None) is not None for t in g[1]):
-                if hit is None:
-                    hit = g
-                else:
-                    hit[0].extend(g[0])
-                    hit[1].extend(g[1])
-                    continue
-            rest.append(g)
-        groups = rest
-        if hit is None:
-            groups.append(([v], [BKTree(v)]))
-        else:
-            hit[0].append(v)
-            hit[1][0].add(v)
-    return [g[0] for g in groups]
-
-
-def shard_links(vertices: list[int], prints: list[bytes], radius: int) -> Iterator[tuple[int, int]]:
-    """Links of a shard's fingerprints, one from each but the first of a group to that first one."""
-    vertex = {int.from_bytes(p, "big"): v for p, v in zip(prints, vertices, strict=True)}
-    values = sorted(vertex)
-    if len(values) == 2:
-        groups = [values] if (values[0] ^ values[1]).bit_count() <= radius else []
-    else:
-        groups = (forest_groups if len(prints[0]) > 8 else shard_groups)(values, radius)
-    for g in groups:
-        for v in g[1:]:
-            yield vertex[v], vertex[g[0]]
+    if not nearest:
+        for v in values:
+            if (r := root(v)) != v:
+                yield vertex[v], vertex[r]
 
 
-def _searched(routes: DataFrame, radius: int) -> DataFrame:
+def _searched(routes: DataFrame, radius: int, nearest: bool) -> DataFrame:
     """Links of all shards. Rows come sorted by route, so a task holds one shard at a time."""
 
     def tasks(batches: Iterator[pa.RecordBatch]):
@@ -257,13 +231,13 @@ def _searched(routes: DataFrame, radius: int) -> DataFrame:
                 v, p = vertex[s:e].to_pylist(), prints[s:e].to_pylist()
                 if route[s] != last:
                     if len(vs) > 1:
-                        out += shard_links(vs, ps, radius)
+                        out += shard_links(vs, ps, radius, nearest)
                     last, vs, ps = route[s], v, p
                 else:
                     vs, ps = vs + v, ps + p
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
-        if len(vs) > 1 and (out := list(shard_links(vs, ps, radius))):
+        if len(vs) > 1 and (out := list(shard_links(vs, ps, radius, nearest))):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
 
     return routes.repartition("route").sortWithinPartitions("route").mapInArrow(tasks, "u long, v long")
@@ -280,7 +254,7 @@ def links(prints: DataFrame, radius: int, words: int = 1, shard_rows: int = SHAR
             heavy = cut(routes.groupBy("route").count().where(F.col("count") > shard_rows).select("route"), "heavy")
             if heavy.isEmpty():
                 heavy = None
-        part = _searched(routes if heavy is None else routes.join(heavy, "route", "left_anti"), radius)
+        part = _searched(routes if heavy is None else routes.join(heavy, "route", "left_anti"), radius, words > 1)
         found = part if found is None else found.unionByName(part)
         if heavy is None:
             break
@@ -288,21 +262,54 @@ def links(prints: DataFrame, radius: int, words: int = 1, shard_rows: int = SHAR
     return found
 
 
-def simhash_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, words: int = 1, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, the columns to carry, print (bytes), label (of its group; never null) and component_id (the
-    smallest doc_id of its group)."""
-    prints = cut(fingerprints(docs, size, words, carry), "prints")
+def simhash_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row per row of docs: doc_id, print (bytes) and component_id (the smallest doc_id of its group)."""
+    prints = cut(fingerprints(docs, size), "prints")
     tail = F.pmod(F.xxhash64("print"), F.lit(1 << 40))
     distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least")).select("print", F.coalesce("least", F.lit(_NO_ID) + tail).alias("vertex")), "distinct")
     # two fingerprints may have the same least doc_id where rows repeat an id: then they are one vertex, as they are one document
-    groups = components(links(distinct, radius, words))
+    groups = components(links(distinct, radius))
     labelled = distinct.join(groups.withColumnsRenamed({"u": "vertex", "v": "label"}), "vertex", "left").select("print", F.coalesce("label", "vertex").alias("label"))
-    return prints.join(labelled, "print").select("doc_id", *carry, "print", "label", F.when(F.col("label") < _NO_ID, F.col("label")).alias("component_id"))
+    return prints.join(labelled, "print").select("doc_id", "print", F.when(F.col("label") < _NO_ID, F.col("label")).alias("component_id"))
 
 
-#: For near copies at a similarity of 0.8 of five-word shingles: bits / 64, and the radius, which is 0.16 of the bits (two documents of
-#: Jaccard similarity J differ in arccos(2 J / (1 + J)) / pi of them: 0.15 at 0.8).
-WIDE_WORDS, WIDE_SHINGLE, WIDE_RADIUS = 6, 5, 63
+#: Bits / 64 and radius: two documents of Jaccard similarity J differ in arccos(2 J / (1 + J)) / pi of the bits, 58 of 384 with a standard
+#: deviation of 7 at 0.8; unrelated ones in 192.
+WIDE_WORDS, WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY = 6, 5, 80, 0.8
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs (doc_id, text, file, row; the latter two tell rows apart): doc_id, file, row, label of its group.
+
+    Groups are connected by pairs of at least this Jaccard similarity of their sets of five-word shingles, checked exactly."""
+    prints = cut(fingerprints(docs, WIDE_SHINGLE, WIDE_WORDS, ("file", "row")), "prints")
+    first = F.min(F.struct("file", "row")).alias("first")
+    distinct = cut(prints.groupBy("print").agg(first).select("print", "first.*", F.monotonically_increasing_id().alias("vertex")), "distinct")
+    pairs = cut(links(distinct.select("vertex", "print"), WIDE_RADIUS, WIDE_WORDS).distinct(), "pairs")
+    members = pairs.select(F.col("u").alias("vertex")).union(pairs.select("v")).distinct()
+    members = cut(distinct.join(members, "vertex", "left_semi").select("vertex", "file", "row"), "members")
+    texts = prefiltered(docs.select("text", "file", "row"), members, ["file", "row"]).join(members, ["file", "row"]).select("vertex", "text")
+
+    def shingles(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, WIDE_SHINGLE)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["vertex", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = cut(texts.mapInArrow(shingles, "vertex long, shingles binary"), "shingles")
+    one, two = (sets.withColumnsRenamed({"vertex": c, "shingles": f"{c}_set"}) for c in "uv")
+    edges = pairs.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set").mapInArrow(check, "u long, v long")
+    groups = components(edges).withColumnsRenamed({"u": "vertex", "v": "label"})
+    labelled = distinct.join(groups, "vertex", "left").select("print", F.coalesce("label", "vertex").alias("label"))
+    return prints.join(labelled, "print").select("doc_id", "file", "row", "label")
 
 
 def bands_miss(jaccard: float, words: int) -> float:

@@ -237,7 +237,7 @@ class _ByDocument:
             o = np.lexsort((cols[2], cols[1], cols[0]))
             self.cols = [c[o] for c in cols]
             head = np.flatnonzero(np.r_[True, (np.diff(self.cols[0]) != 0) | (np.diff(self.cols[1]) != 0)]) if len(o) else np.empty(0, np.int64)
-            ends = np.r_[head[1:], len(o)]
+            ends = np.append(head[1:], len(o)) if len(o) else head
             self.index = {(d, v): (s, e) for d, v, s, e in zip(self.cols[0][head].tolist(), self.cols[1][head].tolist(), head.tolist(), ends.tolist(), strict=True)}
         s, e = self.index.get((doc, variant), (0, 0))
         return [c[s:e] for c in self.cols[2:]]

@@ -99,7 +99,7 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     spark = docs.sparkSession
     store = StreamingDedup(spark, scratch(spark, "exact-dedup"), digest)
     store.ingest(docs)
-    groups = store.groups()
+    groups = cut(store.groups(), "groups")  # and so joined by a shuffle of its own, which adaptive execution can split
     norms = docs.select(normalised().alias("norm")).select(digest(F.col("norm")).alias("digest"), "norm")
     checked = prefiltered(norms, groups.where("size > 1"), ["digest"]).groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
     collided = cut(checked.where("lo <> hi").select("digest"), "collided")

@@ -23,13 +23,16 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     while True:
         order = np.argsort(key)
         key = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]], dtype=np.uint64)
-        if k >= depth or (n and rank[order[-1]] == n - 1):
+        new = np.r_[False, key[1:] != key[:-1]]
+        del key
+        if k >= depth or new[1:].all():
             return order
-        after = np.full(n, n, np.uint64)
-        after[: max(0, n - k)] = rank[k:]
-        key = (rank << np.uint64(32)) | after
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(new, dtype=np.uint64)
+        del order
+        key = rank << np.uint64(32)
+        key[: max(0, n - k)] |= rank[k:]
+        key[max(0, n - k) :] |= np.uint64(n)
         k *= 2
 
 
@@ -37,22 +40,24 @@ def borders(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For each row i of the sorted suffixes: whether it has less than `length` bytes in common with row i - 1, as far as neither
     meets an END within that length."""
     n = len(text)
-    where = np.empty(n, np.int64)
-    where[order] = np.arange(n)
+    small = np.int32 if n < 1 << 31 else np.int64
+    where = np.empty(n, small)
+    where[order] = np.arange(n, dtype=small)
     first, before = text[order], text[order - 1]  # the transform; row of position 0 wraps to an END
     step = where[order - 1]
     open_ = before != END
     seen = np.zeros(n + 1, bool)
-    rows = np.flatnonzero(first != END)
-    own = np.zeros(len(rows), np.int64)
+    del where
+    rows = np.flatnonzero(first != END).astype(small)
+    own = np.zeros(len(rows), small)
     for level in range(length):
         if level:
             on = open_[rows]
             rows, own = step[rows[on]], own[on]
             if len(rows) * 8 > n:
-                table = np.full(n, -1, np.int64)
+                table = np.full(n, -1, small)
                 table[rows] = own
-                rows = np.flatnonzero(table >= 0)
+                rows = np.flatnonzero(table >= 0).astype(small)
                 own = table[rows]
             else:
                 o = np.argsort(rows)
@@ -67,7 +72,7 @@ def borders(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
         seen[right] = True
         keep = np.repeat(new, sizes)
         rows = rows[keep]
-        own = np.repeat(np.arange(int(new.sum())), sizes[new])
+        own = np.repeat(np.arange(int(new.sum()), dtype=small), sizes[new])
     return seen[:n]
 
 

@@ -14,6 +14,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,16 +37,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and a lost executor
-    costs a re-read rather than a recomputation."""
+    costs a re-read rather than a recomputation. batch_rows: rows that Python functions get at a time."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")  # what this job shuffles is of no use once it is written
+    now = {_CLEAN: "true"}  # what this job shuffles is of no use once it is written
+    if batch_rows:
+        now[_BATCH] = str(batch_rows)
+    before = {k: spark.conf.get(k, None) for k in now}
+    for k, v in now.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

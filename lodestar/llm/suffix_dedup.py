@@ -33,10 +33,12 @@ from .common import cut, read_table
 
 LENGTH, K = 50, 20
 #: Text for a bucket, and text after which a task passes on its runs. Windows in a run at most.
-BUCKET_BYTES, FLUSH_BYTES, RUN = 16 << 20, 16 << 20, 64
+BUCKET_BYTES, FLUSH_BYTES, RUN = 8 << 20, 12 << 20, 64
 
 _NO_ID = (1 << 63) - 1
 _CHUNK = 1 << 20
+#: Texts, or packed rows, that a Python function gets at a time.
+_TEXTS, _BLOBS = 1000, 32
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Bytes kept of each number of a packed row: route, segment, document, variant, start, windows.
 _RUN_BYTES, _COVER_BYTES = (6, 6, 8, 4, 4, 1), (8, 4, 4, 4)
@@ -384,7 +386,7 @@ def substring_dedup(docs: DataFrame, texts: bool = True, bucket_bytes: int = BUC
 
         return pd.Series(_part(d.to_numpy().astype(np.uint64), v.to_numpy().astype(np.uint64), parts))
 
-    judged = cut(rows.mapInArrow(map_, _ROW).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce_, _ROW), "judged")
+    judged = cut(rows.mapInArrow(map_, _ROW).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce_, _ROW), "judged", _BLOBS)
     by_doc = rows.select(part_of("doc", "variant").alias("part"), F.lit(_TEXT).alias("kind"), F.lit(0).cast("long").alias("bucket"), "doc", "variant", F.col("text").alias("data"))
 
     def met(notes: DataFrame) -> DataFrame:
@@ -392,9 +394,9 @@ def substring_dedup(docs: DataFrame, texts: bool = True, bucket_bytes: int = BUC
         return said.union(by_doc).repartition("part").sortWithinPartitions("part", "kind")
 
     segments = met(judged.where(F.col("kind") == _ASK)).mapInArrow(_segments, _ROW)
-    more = cut(segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(expand_, _ROW), "expanded")
+    more = cut(segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(expand_, _ROW), "expanded", _TEXTS)
     covered = judged.where(F.col("kind") == _REPLY).union(more)
-    return met(covered).mapInArrow(final_, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
+    return cut(met(covered).mapInArrow(final_, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>"), "deduplicated", _TEXTS)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,8 @@ def runs(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarr
     segment = count.astype(np.uint64)
     for j in range(0, RUN + length, k):
         segment = _mixed(segment * _A + gram[np.minimum(begin + j, last)])
-    return of[head], begin - starts[of[head]], count, value[head] >> np.uint64(16), segment >> np.uint64(16)
+    route = _mixed(value[head] * _B)  # least hashes are small; routes are spread evenly
+    return of[head], begin - starts[of[head]], count, route >> np.uint64(16), segment >> np.uint64(16)
 
 
 def packed(columns, sizes: tuple[int, ...]) -> bytes:

@@ -1,0 +1 @@
+"""Streaming: the workloads covered here have no streaming operators; stateful streaming lives with the operators that need it."""

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from lodestar.llm import classifier, exact_dedup, mixing, packing, simhash
 from lodestar.llm.common import cut, read_table
 
-_FILE, _ROW = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+#: Where a row lies, as a query names it.
+_FILE, _ROW = "_metadata.file_path", "_metadata.row_index"
 
 
 def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The documents whose (file, row) rows has."""
-    located = docs.select("*", _FILE.alias("__file"), _ROW.alias("__row"))
+    located = docs.select("*", F.col(_FILE).alias("__file"), F.col(_ROW).alias("__row"))
     return located.join(rows.select(F.col("file").alias("__file"), F.col("row").alias("__row")), ["__file", "__row"], "left_semi").select(*docs.columns)
 
 
@@ -33,7 +34,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five-word shingles, similarity 0.8), that with the smallest doc_id (null last)."""
-    located = docs.select("doc_id", "text", _FILE.alias("file"), _ROW.alias("row"))
+    located = docs.select("doc_id", "text", F.col(_FILE).alias("file"), F.col(_ROW).alias("row"))
     groups = simhash.near_copies(located)
     first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("first"))
     return _only(docs, first.select("first.file", "first.row"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 #: Elements that end the block before them and the one within them.
 BLOCK = frozenset(
@@ -39,7 +39,6 @@ DEPTH = 24
 class Node:
     tag: str
     names: tuple[str, ...]
-    above: tuple[Node, ...] = field(repr=False, default=())
 
 
 @dataclass(slots=True)
@@ -76,6 +75,7 @@ def blocks(page: str | None) -> list[Block]:
     """In page order; white space is one space, character references are decoded, empty blocks are left out."""
     page, out = page or "", []
     stack: list[Node] = []
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked = links = 0
     hopeless: set[str] = set()
@@ -91,9 +91,13 @@ def blocks(page: str | None) -> list[Block]:
 
     def close(tags: frozenset[str] | set[str], fences: frozenset[str]) -> None:
         nonlocal links
+        if not any(opened.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i].tag in tags:
-                links -= sum(n.tag == "a" for n in stack[i:])
+                for n in stack[i:]:
+                    opened[n.tag] -= 1
+                    links -= n.tag == "a"
                 del stack[i:]
                 return
             if stack[i].tag in fences:
@@ -141,6 +145,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag not in VOID:
             names = tuple(t.lower() for found in _NAMED.findall(page[m.end() : pos]) for v in found if v for t in _TOKEN.findall(v))
             stack.append(Node(tag, names[:8]))
+            opened[tag] = opened.get(tag, 0) + 1
             links += tag == "a"
     flush()
     return out

@@ -190,5 +190,39 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
     return docs.select("doc_id", "text").mapInArrow(tasks, _PIECE)
 
 
+def pack_examples(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS, pool: int = POOL) -> DataFrame:
+    """Sequences of whole examples, such as instruction data: example_id, tokens, segments, loss_tokens and sequence_id.
+
+    No sequence is above any of the three limits; an example above one by itself is an error. A null count is 0."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]):
+        bins, count, out = Bins((max_tokens, max_segments, max_loss)), TaskContext.get().partitionId() << 40, []
+
+        def close(least: int) -> None:
+            nonlocal count
+            while len(bins.items) > least:
+                out.extend((*e, count) for e in bins.fill())
+                count += 1
+
+        def done() -> pa.RecordBatch:
+            rows = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(rows, names=["example_id", "tokens", "segments", "loss_tokens", "sequence_id"])
+
+        for b in batches:
+            rows = [(i, t or 0, n or 0, x or 0) for i, t, n, x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            for at in range(0, len(rows), pool):
+                bins.add(rows[at : at + pool], [r[1:] for r in rows[at : at + pool]])
+                close(pool)
+            if out:
+                yield done()
+        close(0)
+        if out:
+            yield done()
+
+    schema = "example_id long, tokens long, segments long, loss_tokens long, sequence_id long"
+    return examples.selectExpr("cast(example_id as long)", "cast(tokens as long)", "cast(segments as long)", "cast(loss_tokens as long)").mapInArrow(tasks, schema)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))

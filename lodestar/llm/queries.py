@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE, "op8_chat": chat_format.ORACLE}
+ORACLE_SQL = {"op2_warc": warc.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op8_chat": chat_format.ORACLE}

@@ -213,3 +213,16 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(read_table(spark, sf_dir, "pages"), path)
     read = read_archives(spark, path, payloads=False).where("kind <> 'gap'")
     return read.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to", "url")
+
+
+#: Four base-32 digits for every five hexadecimal ones.
+ORACLE = """
+with p as (select page_id, url, coalesce(html, '') as payload from pages),
+d as (select *, sha1(payload) as h, min(page_id) over (partition by payload) as first from p)
+select page_id, cast(strlen(payload) as bigint) as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         cast(((cast('0x' || substr(h, cast((i // 4) * 5 + 1 as bigint), 5) as bigint) >> cast(15 - 5 * (i % 4) as bigint)) & 31) + 1 as bigint), 1)), '') as payload_digest,
+       case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+       case when page_id is not distinct from first then null else first end as refers_to, url
+from d
+"""

@@ -46,7 +46,7 @@ def test_colliding_digests_are_split_by_bytes(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, oracle_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.execute(f"create view {t} as select * from '{oracle_dir}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     names = sorted(d[0] for d in want.description)

@@ -86,6 +86,20 @@ def test_an_item_above_the_limits_is_an_error():
         packing.vector_pack([(101, 1, 1)], (100, 5, 60))
 
 
+def test_packing_of_examples(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.integers(0, 100)), 1, None if i % 7 == 0 else int(rng.integers(0, 40)), "x") for i in range(500)]
+    df = spark.createDataFrame(rows, "example_id long, tokens int, segments int, loss_tokens int, sequence_id string").repartition(3)
+    got = packing.pack_examples(df, 100, 4, 60, pool=50).collect()
+    assert sorted(r["example_id"] for r in got) == list(range(500))
+    sums = defaultdict(lambda: np.zeros(3, int))
+    for r in got:
+        sums[r["sequence_id"]] += (r["tokens"], r["segments"], r["loss_tokens"])
+    assert all((s <= (100, 4, 60)).all() for s in sums.values())
+    assert len(sums) < 1.25 * max(sum(r[1] for r in rows) / 100, 500 / 4, sum(r[3] or 0 for r in rows) / 60)
+    assert packing.pack_examples(df.where("false")).count() == 0
+
+
 def brute_targets(sizes):
     left, fixed, weights = sum(sizes), {}, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
     while True:

@@ -14,11 +14,14 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES):
         self.spark, self.folder, self.names = spark, folder, names
+        self._found: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.names:
             raise KeyError(f"no table {name!r}; there are {', '.join(self.names)}")
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._found:  # a catalog lives for one query; reading a schema costs a job
+            self._found[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._found[name]
 
     def register(self) -> None:
         """Temporary views, for SQL."""

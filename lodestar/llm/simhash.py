@@ -15,9 +15,11 @@ fingerprints of all documents, which mustn't pass through the driver.
 
 Near copies at a similarity of 0.8 (the pipeline's stage) differ in too many of 64 bits for that. `near_copies` takes WIDE_WORDS x 64 bits of
 the set of five-word shingles, and every BAND bits as a route, which two documents miss together with a probability that
-`bands_miss` states (2 % at a similarity of 0.8, less above). A shard's tree gives each document the nearest one of each group within WIDE_RADIUS,
-and an exact check of the Jaccard similarity of these pairs follows. Unrelated documents share a shard by chance, N / 2^BAND of
-them, so BAND is to grow with the logarithm of the corpus.
+`bands_miss` states (2 % at a similarity of 0.8, less above). A shard's tree gives each document its NEAREST nearest ones within
+WIDE_RADIUS, later ones too, and the nearest of each group that came before it. The Jaccard similarity of these pairs is checked exactly, in
+rounds: first each document's nearest, then the nearest that isn't in its group by then, at last all that still lie in two groups. So copies
+that are like their original, but not like one another, find it, and few pairs of a large group are ever checked. Unrelated documents
+share a shard by chance, N / 2^BAND of them, so BAND is to grow with the logarithm of the corpus.
 
 Defined cases. A null or empty text, or one without a word, has fingerprint 0 and links like any other. Fewer words than
 a shingle: the whole sequence is the only shingle. Null doc_ids: they join groups, and component_id is the smallest doc_id
@@ -28,6 +30,7 @@ Further columns are ignored. doc_ids within 2^40 of the largest long are reserve
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from heapq import heappush, heappushpop
 from itertools import combinations
 
 import numpy as np
@@ -181,21 +184,28 @@ class BKTree:
                 stack += [below[k] for k in range(d - radius, d + radius + 1) if k in below]
 
 
-def shard_links(vertices: list[int], prints: list[bytes], radius: int, nearest: bool = False) -> Iterator[tuple[int, int]]:
+def shard_links(vertices: list[int], prints: list[bytes], radius: int, nearest: int = 0) -> Iterator[tuple[int, ...]]:
     """Links within the radius between a shard's fingerprints: from each but the first of a connected group to that first one; or,
-    nearest, from each fingerprint to the nearest one of each group that came before it."""
+    nearest, with their distance, from each fingerprint to so many nearest ones and to the nearest of each group that came before it."""
     vertex = {int.from_bytes(p, "big"): v for p, v in zip(prints, vertices, strict=True)}
     values = sorted(vertex, key=vertex.get)
     parent: dict[int, int] = {}
+    close: dict[int, list[tuple[int, int]]] = {}
     tree = None
 
+    def offer(x: int, d: int, y: int) -> None:
+        if len(close[x]) < nearest:
+            heappush(close[x], (-d, y))
+        else:
+            heappushpop(close[x], (-d, y))
+
     def root(x: int) -> int:
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
     for v in values:
-        parent[v] = v
+        parent[v], close[v] = v, []
         if tree is None:
             tree = BKTree(v)
             continue
@@ -203,19 +213,27 @@ def shard_links(vertices: list[int], prints: list[bytes], radius: int, nearest:
         for near, d in tree.within(v, radius):
             r = root(near)
             best[r] = min(best.get(r, (d, near)), (d, near))
-        for r, (_, near) in best.items():
+            if nearest:
+                offer(v, d, near)
+                offer(near, d, v)
+        for r, (d, near) in best.items():
             parent[max(r, root(v), key=vertex.get)] = min(r, root(v), key=vertex.get)
             if nearest:
-                yield vertex[v], vertex[near]
+                yield vertex[v], vertex[near], d
         tree.add(v)
-    if not nearest:
-        for v in values:
-            if (r := root(v)) != v:
-                yield vertex[v], vertex[r]
+    for v in values:
+        if nearest:
+            yield from ((vertex[v], vertex[near], -d) for d, near in close[v])
+        elif (r := root(v)) != v:
+            yield vertex[v], vertex[r]
 
 
-def _searched(routes: DataFrame, radius: int, nearest: bool) -> DataFrame:
+def _searched(routes: DataFrame, radius: int, nearest: int) -> DataFrame:
     """Links of all shards. Rows come sorted by route, so a task holds one shard at a time."""
+    names = ["u", "v", "distance"] if nearest else ["u", "v"]
+
+    def linked(out: list[tuple[int, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     def tasks(batches: Iterator[pa.RecordBatch]):
         last, vs, ps = None, [], []
@@ -236,15 +254,16 @@ def _searched(routes: DataFrame, radius: int, nearest: bool) -> DataFrame:
                 else:
                     vs, ps = vs + v, ps + p
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+                yield linked(out)
         if len(vs) > 1 and (out := list(shard_links(vs, ps, radius, nearest))):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+            yield linked(out)
 
-    return routes.repartition("route").sortWithinPartitions("route").mapInArrow(tasks, "u long, v long")
+    return routes.repartition("route").sortWithinPartitions("route").mapInArrow(tasks, ", ".join(f"{c} long" for c in names))
 
 
 def links(prints: DataFrame, radius: int, words: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(u, v) between vertices of distinct fingerprints (vertex, print) that lie within the radius; components, not pairs."""
+    """(u, v) between vertices of distinct fingerprints (vertex, print) that lie within the radius; components, not pairs. Of wide
+    ones (u, v, distance): candidates."""
     levels = masks(radius) if words == 1 else [[]]
     fan, found, rows = 0, None, prints
     for k, level in enumerate(levels):
@@ -254,7 +273,7 @@ def links(prints: DataFrame, radius: int, words: int = 1, shard_rows: int = SHAR
             heavy = cut(routes.groupBy("route").count().where(F.col("count") > shard_rows).select("route"), "heavy")
             if heavy.isEmpty():
                 heavy = None
-        part = _searched(routes if heavy is None else routes.join(heavy, "route", "left_anti"), radius, words > 1)
+        part = _searched(routes if heavy is None else routes.join(heavy, "route", "left_anti"), radius, NEAREST if words > 1 else 0)
         found = part if found is None else found.unionByName(part)
         if heavy is None:
             break
@@ -276,6 +295,21 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -
 #: Bits / 64 and radius: two documents of Jaccard similarity J differ in arccos(2 J / (1 + J)) / pi of the bits, 58 of 384 with a standard
 #: deviation of 7 at 0.8; unrelated ones in 192.
 WIDE_WORDS, WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY = 6, 5, 80, 0.8
+#: Candidates of a document in a shard, and rounds in which all are checked.
+NEAREST, ROUNDS = 4, 3
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """The nearest pair of each vertex."""
+    ends = pairs.select(F.col("u").alias("x"), F.struct("distance", "u", "v").alias("pair")).union(pairs.select("v", F.struct("distance", "u", "v")))
+    return ends.groupBy("x").agg(F.min("pair").alias("pair")).select("pair.u", "pair.v").distinct()
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs that lie in two groups (u, v: a vertex and the least of its group)."""
+    for c in ("u", "v"):
+        pairs = pairs.join(groups.select(F.col("u").alias(c), F.col("v").alias(f"{c}_label")), c, "left")
+    return pairs.where(F.coalesce("u_label", "u") != F.coalesce("v_label", "v")).select("u", "v", "distance")
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -285,7 +319,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     prints = cut(fingerprints(docs, WIDE_SHINGLE, WIDE_WORDS, ("file", "row")), "prints")
     first = F.min(F.struct("file", "row")).alias("first")
     distinct = cut(prints.groupBy("print").agg(first).select("print", "first.*", F.monotonically_increasing_id().alias("vertex")), "distinct")
-    pairs = cut(links(distinct.select("vertex", "print"), WIDE_RADIUS, WIDE_WORDS).distinct(), "pairs")
+    near = links(distinct.select("vertex", "print"), WIDE_RADIUS, WIDE_WORDS)
+    pairs = cut(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "distance").distinct(), "pairs")
     members = pairs.select(F.col("u").alias("vertex")).union(pairs.select("v")).distinct()
     members = cut(distinct.join(members, "vertex", "left_semi").select("vertex", "file", "row"), "members")
     texts = prefiltered(docs.select("text", "file", "row"), members, ["file", "row"]).join(members, ["file", "row"]).select("vertex", "text")
@@ -306,8 +341,17 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     sets = cut(texts.mapInArrow(shingles, "vertex long, shingles binary"), "shingles")
     one, two = (sets.withColumnsRenamed({"vertex": c, "shingles": f"{c}_set"}) for c in "uv")
-    edges = pairs.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set").mapInArrow(check, "u long, v long")
-    groups = components(edges).withColumnsRenamed({"u": "vertex", "v": "label"})
+    edges = None
+    for left in reversed(range(ROUNDS)):
+        now = cut(_nearest(pairs), "nearest") if left else pairs
+        found = cut(now.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set").mapInArrow(check, "u long, v long"), "checked")
+        edges = found if edges is None else edges.union(found)
+        groups = components(edges)
+        if left:
+            pairs = cut(_apart(pairs.join(now, ["u", "v"], "left_anti"), groups), "pairs")
+            if pairs.isEmpty():
+                break
+    groups = groups.withColumnsRenamed({"u": "vertex", "v": "label"})
     labelled = distinct.join(groups, "vertex", "left").select("print", F.coalesce("label", "vertex").alias("label"))
     return prints.join(labelled, "print").select("doc_id", "file", "row", "label")
 

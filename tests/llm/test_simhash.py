@@ -89,6 +89,29 @@ def test_near_copies_by_exact_similarity(spark, tmp_path):
     assert [i for i in range(1, 6) if label[i] == label[0]] == similar
 
 
+def test_copies_unlike_one_another_find_their_original(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    base = ["w%d" % x for x in rng.integers(10**6, size=300)]
+    rows = []
+    for _ in range(150):
+        other, at = list(base), int(rng.integers(270))
+        other[at : at + 24] = ["w%d" % x for x in rng.integers(10**6, size=24)]
+        rows.append(other)
+    rows.append(base)
+    sets = [{tuple(r[i : i + 5]) for i in range(296)} for r in rows]
+    alike = [len(s & sets[-1]) >= 0.8 * len(s | sets[-1]) for s in sets[:-1]]
+    assert all(alike) and sum(len(s & sets[0]) < 0.8 * len(s | sets[0]) for s in sets[1:-1]) > 100
+    docs = documents(spark, tmp_path, [(i, " ".join(r), None, None, None, None, None) for i, r in enumerate(rows)])
+    located = docs.selectExpr("doc_id", "text", "_metadata.file_path as file", "_metadata.row_index as row")
+    assert simhash.near_copies(located).select("label").distinct().count() == 1
+
+
+def test_shards_offer_the_nearest_both_ways():
+    prints = [(x).to_bytes(8, "big") for x in (0, 0b1, 0b111, 0b11111, 0b11 << 60)]
+    found = set(simhash.shard_links(list(range(5)), prints, 4, nearest=1))
+    assert {(0, 1, 1), (1, 0, 1), (2, 1, 2), (3, 2, 2), (4, 0, 2)} <= found and all(d <= 4 for *_, d in found)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100)] + [(200, 300), (5, 5), (300, 200)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(chain, "u long, v long")).collect())

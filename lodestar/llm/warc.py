@@ -7,7 +7,10 @@ protocol discards what lost tasks began.
 
 Salvage reader. An archive is read from front to back. A member or an uncompressed record that fails a check (gzip checksum, version
 line, header block, Content-Length, record end, payload digest) isn't trusted: the reader searches for the next gzip member or
-version line after its start that leads to a valid record, goes on there, and logs the bytes between as a quarantined gap.
+version line after its start that leads to a valid record, goes on there, and logs the bytes between as a quarantined gap. A member
+that is sound itself but holds a broken record gives its other records, and its bytes are logged. Records of all types come
+back; those other than responses have their block as payload (revisits none). Digests are checked where they are SHA-1; a transfer
+encoding is kept as it was stored, and no payload digest is checked there.
 
 Scale. Payload digests are found by SHA-1 on the JVM, the first page of each by an aggregation that combines within tasks; the html is
 shuffled once, on the digest, where adaptive execution splits a payload that many pages share. An archive holds at most
@@ -26,6 +29,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +42,10 @@ ARCHIVE_RECORDS = 20_000
 MIN_PAYLOAD = 0
 
 _VERSION = b"WARC/1.1\r\n"
-_CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+#: The date of records whose writer names none.
+_NO_DATE = "1970-01-01T00:00:00Z"
+_VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_CANDIDATE = re.compile(rb"\x1f\x8b\x08|" + _VERSION_LINE.pattern)
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 _FEED = 1 << 16
 
@@ -56,10 +63,10 @@ def _un_urn(value: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, digest: str | None = None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, digest: str | None = None, date: str = _NO_DATE) -> bytes:
     """An uncompressed record; a revisit's block is the HTTP head alone, which still tells the payload's length."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _urn(page_id))]
+    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", date)]
     if url is not None:
         head.append(("WARC-Target-URI", re.sub(r"[\r\n%]", lambda m: f"%{ord(m[0]):02X}", url)))
     head.append(("WARC-Payload-Digest", "sha1:" + (digest or digest32(payload))))
@@ -110,65 +117,96 @@ def _parsed(data: bytes, at: int) -> Record | None:
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
-    try:
-        head = dict(line.split(": ", 1) for line in data[at + 10 : end].decode().split("\r\n"))
-        n = int(head["Content-Length"])
-    except (ValueError, KeyError):
+    head = _fields(data[at + 10 : end])
+    size = head.get("content-length", "")
+    kind = head.get("warc-type", "")
+    if not (size.isascii() and size.isdigit()) or not kind:
         return None
+    n = int(size)
     block = data[end + 4 : end + 4 + n]
-    if n < 0 or len(block) < n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
-        return None
-    http, _, payload = block.partition(b"\r\n\r\n")
-    m = re.search(rb"(?mi)^Content-Length: (\d+)\r?$", http)
-    kind, digest = head.get("WARC-Type", ""), head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-    if kind not in ("response", "revisit") or not m:
+    if len(block) < n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n" or not _agrees(head.get("warc-block-digest"), block):
         return None
-    if kind == "response" and (int(m[1]) != len(payload) or digest32(payload) != digest):
-        return None
-    url = head.get("WARC-Target-URI")
+    digest, payload = head.get("warc-payload-digest"), block
+    if "application/http" in head.get("content-type", ""):
+        message, _, payload = block.partition(b"\r\n\r\n")
+        http = _fields(message)
+        told = http.get("content-length", "")
+        if kind == "response" and "transfer-encoding" not in http and not _agrees(digest, payload):
+            return None
+        if kind == "response" and digest is None and told and told != str(len(payload)):
+            return None  # the only length that the payload can be held against
+    else:
+        told = ""
+        if kind != "revisit" and not _agrees(digest, payload):
+            return None
+    url = head.get("warc-target-uri")
     if url is not None:
         url = re.sub(r"%(0D|0A|25)", lambda x: chr(int(x[1], 16)), url)
-    return Record(at, end + 8 + n - at, kind, _un_urn(head.get("WARC-Record-ID")), url, int(m[1]), digest, _un_urn(head.get("WARC-Refers-To")), payload if kind == "response" else None)
+    size = int(told) if kind == "revisit" and told.isascii() and told.isdigit() else 0 if kind == "revisit" else len(payload)
+    digest = digest32(payload) if digest is None and kind != "revisit" else (digest or "").removeprefix("sha1:")
+    payload = None if kind == "revisit" else payload
+    return Record(at, end + 8 + n - at, kind, _un_urn(head.get("warc-record-id")), url, size, digest, _un_urn(head.get("warc-refers-to")), payload)
+
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Named fields by their lower-case names; a line that begins with white space continues the one before."""
+    lines = re.sub(rb"\r\n[ \t]+", b" ", head).decode("utf-8", "replace").split("\r\n")
+    return {k.strip().lower(): v.strip(" \t") for k, colon, v in (x.partition(":") for x in lines) if colon}
 
-def _at(data: bytes, view: memoryview, at: int) -> tuple[list[Record], int] | None:
-    """The records of the member or the record that starts there, and its end; None if a check fails."""
+
+def _agrees(digest: str | None, data: bytes) -> bool:
+    """False if the digest is the SHA-1 (base32 or hexadecimal) of something else."""
+    name, _, value = (digest or "").partition(":")
+    if name.lower() != "sha1":
+        return True
+    return value.lower() == hashlib.sha1(data).hexdigest() if len(value) == 40 else value.upper() == digest32(data)
+
+
+def _at(data: bytes, view: memoryview, at: int) -> tuple[list[Record], int, bool] | None:
+    """The records of the member or the record that starts there, its end, and whether it is sound; None if nothing of it is."""
     if view[at : at + 2] == b"\x1f\x8b":
         if (found := _inflated(view, at)) is None:
             return None
         inner, end = found
-        records, pos = [], 0
-        while pos < len(inner):
-            if (r := _parsed(inner, pos)) is None:
-                return None
-            pos += r.length
+        records, gaps = salvage(inner, members=False)
+        if gaps and not records:
+            return None
+        for r in records:
             r.offset, r.length = at, end - at
-            records.append(r)
-        return records, end
+        return records, end, not gaps
     r = _parsed(data, at)
-    return None if r is None else ([r], at + r.length)
+    return None if r is None else ([r], at + r.length, True)
 
 
-def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int]]]:
-    """The valid records of an archive, in order, and the quarantined gaps as (offset, length)."""
+def salvage(data: bytes, members: bool = True) -> tuple[list[Record], list[tuple[int, int]]]:
+    """The valid records of an archive, in order, and the quarantined gaps as (offset, length). Without members: of plain records alone."""
     view, at, records, gaps = memoryview(data), 0, [], []
+    pattern = _CANDIDATE if members else _VERSION_LINE
+
+    def found_at(at: int) -> tuple[list[Record], int, bool] | None:
+        return _at(data, view, at) if members else ([r], at + r.length, True) if (r := _parsed(data, at)) is not None else None
+
+    found = found_at(0) if data else None
     while at < len(data):
-        if (found := _at(data, view, at)) is not None:
+        if found is not None:
             records += found[0]
+            if not found[2]:
+                gaps.append((at, found[1] - at))
             at = found[1]
+            found = found_at(at) if at < len(data) else None
             continue
         start = at
-        while True:
-            m = _CANDIDATE.search(data, at + 1)
+        while found is None and at < len(data):
+            m = pattern.search(data, at + 1)
             at = m.start() if m else len(data)
-            if at == len(data) or _at(data, view, at) is not None:
-                break
+            found = found_at(at) if m else None
         gaps.append((start, at - start))
     return records, gaps
 
 
-def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, archive_records: int = ARCHIVE_RECORDS) -> None:
-    """Archives of all rows (page_id, url, html) in the folder path."""
+def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, archive_records: int = ARCHIVE_RECORDS, date: str | None = None) -> None:
+    """Archives of all rows (page_id, url, html) in the folder path; date: of all records (now, if none is named)."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
     first = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
     small = F.octet_length("html") < min_payload
@@ -178,7 +216,7 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD,
     def members(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             out = [
-                member(record(page_id, url, html.encode(), first if again else None, again, base64.b32encode(sha).decode()))
+                member(record(page_id, url, html.encode(), first if again else None, again, base64.b32encode(sha).decode(), date))
                 for page_id, url, html, sha, again, first in zip(*(c.to_pylist() for c in b.columns), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
@@ -191,7 +229,7 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD,
 _READ = "archive string, offset long, length long, kind string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, names: str = "part-*") -> DataFrame:
     """All records that can be salvaged, and a row of kind 'gap' for each quarantined range of bytes."""
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(n, types[t]) for n, t in (x.split() for x in _READ.split(", "))])
@@ -205,7 +243,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 for k in range(0, len(rows), 1000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 1000], strict=True), schema, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(tasks, _READ)
+    return spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("path", "content").mapInArrow(tasks, _READ)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,45 @@ def test_read_logs_gaps(spark, tmp_path):
     (tmp_path / "a" / "part-0.gz").write_bytes(warc.member(some()[0])[:-3] + warc.member(some()[1]))
     rows = warc.read_archives(spark, str(tmp_path / "a")).orderBy("offset").collect()
     assert [(r["kind"], r["page_id"]) for r in rows] == [("gap", None), ("response", 1)]
+
+
+def foreign(kind, block, *more):
+    head = [f"warc-type:{kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Length:  {len(block)}"]
+    return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers():
+    http, hexadecimal = "Content-Type: application/http; msgtype=response", hashlib.sha1(b"body").hexdigest()
+    parts = [
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        foreign("response", b"HTTP/1.1 200 OK\r\n\r\nbody", http, f"WARC-Payload-Digest: sha1:{hexadecimal}", "X-Folded: a\r\n b"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nbody\r\n0\r\n\r\n", http, f"WARC-Payload-Digest: sha1:{hexadecimal}"),
+        foreign("response", b"dns", "Content-Type: text/dns"),
+        foreign("resource", b"", "WARC-Block-Digest: md5:00"),
+        foreign("revisit", b"", http),
+    ]
+    for whole in (b"".join(parts), b"".join(map(warc.member, parts)), warc.member(b"".join(parts))):
+        records, gaps = warc.salvage(whole)
+        assert not gaps and [r.kind for r in records] == ["warcinfo", "request", "response", "response", "response", "resource", "revisit"]
+        assert records[2].payload == b"body" and records[4].payload == b"dns" and records[5].payload == b"" and records[6].payload is None
+    broken = [
+        foreign("response", b"HTTP/1.1 200 OK\r\n\r\nother", http, f"WARC-Payload-Digest: sha1:{hexadecimal}"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nbody", http),
+        foreign("resource", b"x", f"WARC-Block-Digest: sha1:{hexadecimal}"),
+        foreign("resource", b"x").replace(b"Content-Length:  1", b"Content-Length: -1"),
+        foreign("resource", b"x").replace(b"Content-Length:  1", "Content-Length: ²".encode()),
+        foreign("", b"x"),
+    ]
+    for b in broken:
+        records, gaps = warc.salvage(parts[0] + b + parts[2])
+        assert [r.kind for r in records] == ["warcinfo", "response"] and gaps == [(len(parts[0]), len(b))]
+
+
+def test_a_broken_record_within_a_sound_member():
+    good = some(3)
+    torn = warc.member(good[0] + good[1].replace(b"payload", b"paylaod", 1) + good[2])
+    records, gaps = warc.salvage(torn + warc.member(some(5)[4]))
+    assert [r.page_id for r in records] == [0, 2, 4] and gaps == [(0, len(torn))]
+    assert warc.salvage(warc.member(b"junk"))[1] == [(0, len(warc.member(b"junk")))]
+    assert warc.salvage(warc.member(b"") + good[0])[1] == []

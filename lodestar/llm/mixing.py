@@ -7,8 +7,8 @@ until one of them is 0 or 1. What is left of a bucket is one fraction per source
 time through a reduction tree, and only the root's last fraction of a source is rounded on its own. The words taken from a
 source so differ from its target by less than one document.
 
-Scale. Only doc_id, source and size are shuffled, once, into buckets by hash of doc_id, so a source that holds a third
-of the rows is spread over all buckets; a task streams its sorted bucket and holds one open fraction per source. The tree's
+Scale. Only doc_id, source and size are shuffled, once, into buckets by hash of all three, so a source that holds a third
+of the rows is spread over all buckets, and so are rows without a doc_id; a task streams its sorted bucket and holds one open fraction per source. The tree's
 next levels hold one row per bucket and source. The table of sources (not of documents) goes through the driver.
 
 Reruns agree: bucket numbers depend on the number of rows, order on the rows themselves, and random numbers on the
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: in
     buckets = max(1, -(-n // bucket_rows))
     rows = (
         sized.join(table, sized["source"].eqNullSafe(table["source"]))
-        .select("doc_id", sized["source"], "size", "source_size", "target", F.floor(ratio).alias("copies"), (ratio - F.floor(ratio)).alias("p"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("node"))
+        .select("doc_id", sized["source"], "size", "source_size", "target", F.floor(ratio).alias("copies"), (ratio - F.floor(ratio)).alias("p"), F.pmod(F.xxhash64("doc_id", sized["source"], "size"), F.lit(buckets)).alias("node"))
     )
     done, level = [], 0
     while True:

@@ -215,3 +215,12 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 1
     table(spark, tmp_path, "documents", [], ", ".join(DOC_SCHEMA.split(", ")[:5]))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_ids_share_no_bucket(spark, tmp_path):
+    rows = [(None, "w " * (i % 97 + 1), None, "ab"[i % 2], None, None, None) for i in range(4000)]
+    mixed = mixing.mix(documents(spark, tmp_path, rows), bucket_rows=100, fan_in=4)
+    assert mixed.count() == 4000 and mixed.where("copies > 3 or copies < 0").count() == 0
+    for r in mixed.groupBy("source").agg({"size": "max"}).collect():
+        taken = mixed.where(mixed.source == r["source"]).selectExpr("sum(size * copies) as taken", "max(target) as target").first()
+        assert abs(taken["taken"] - taken["target"]) <= 97

@@ -18,8 +18,13 @@ the set of five-word shingles, and every BAND bits as a route, which two documen
 `bands_miss` states (2 % at a similarity of 0.8, less above). A shard's tree gives each document its NEAREST nearest ones within
 WIDE_RADIUS, later ones too, and the nearest of each group that came before it. The Jaccard similarity of these pairs is checked exactly, in
 rounds: first each document's nearest, then the nearest that isn't in its group by then, at last all that still lie in two groups. So copies
-that are like their original, but not like one another, find it, and few pairs of a large group are ever checked. Unrelated documents
-share a shard by chance, N / 2^BAND of them, so BAND is to grow with the logarithm of the corpus.
+that are like their original, but not like one another, find it, and few pairs of a large group are ever checked.
+
+Shards don't offer all similar pairs; the rest is found exactly. Of each set's shingles, ordered by how common they are in a sample and by hash,
+those of the prefix are posted: two sets at least as similar as asked share one there, for any order. Shingles whose documents are one
+verified group by then are dropped. Of the others, each document is checked with the hub of each group that it meets, then all pairs that
+still lie in two groups. The result thus doesn't depend on BAND, NEAREST, WIDE_RADIUS or the sample; only the work does. Documents with an equal
+wide fingerprint count as one.
 
 Defined cases. A null or empty text, or one without a word, has fingerprint 0 and links like any other. Fewer words than
 a shingle: the whole sequence is the only shingle. Null doc_ids: they join groups, and component_id is the smallest doc_id
@@ -297,6 +302,8 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -
 WIDE_WORDS, WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY = 6, 5, 80, 0.8
 #: Candidates of a document in a shard, and rounds in which all are checked.
 NEAREST, ROUNDS = 4, 3
+#: Documents among which common shingles are counted, and shingles that are ordered by that.
+SAMPLED, COMMON = 16_000, 1 << 17
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -312,18 +319,86 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("u_label", "u") != F.coalesce("v_label", "v")).select("u", "v", "distance")
 
 
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample have, sorted, and in how many. They only order shingles: any order gives the same groups."""
+    part = docs.select("text").sample(min(1.0, SAMPLED / max(1, docs.count())), SEED)
+
+    def tasks(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            hashes = [np.unique(shingle_hashes(t, WIDE_SHINGLE)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *hashes]).view(np.int64))], names=["shingle"])
+
+    counts = part.mapInArrow(tasks, "shingle long").groupBy("shingle").count().where("count > 1")
+    found = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+    shingles, n = found.column("shingle").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 of a set's n sorted hashes, rare ones first: two sets at least this similar share one of theirs."""
+    known, counts = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]
+
+
+def _printed(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, file, row, the wide print, the size of the set of shingles and its prefix."""
+    kept, common = docs.select("doc_id", "file", "row"), _common(docs)
+
+    def tasks(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, WIDE_SHINGLE)) for t in b.column(0).to_pylist()]
+            heads = [prefix(h, common, similarity) for h in sets]
+            ends = pa.array(np.cumsum([0, *map(len, heads)]), pa.int32())
+            values = pa.array(np.concatenate([np.empty(0, np.uint64), *heads]).view(np.int64))
+            made = [pa.array([fingerprint(h, WIDE_WORDS) for h in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.ListArray.from_arrays(ends, values)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *made], names=[*b.schema.names[1:], "print", "size", "prefix"])
+
+    more = StructType.fromDDL("print binary, size int, prefix array<long>")
+    return docs.select("text", "doc_id", "file", "row").mapInArrow(tasks, StructType([*kept.schema.fields, *more.fields]))
+
+
+def _live(posts: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows (vertex, size, at, shingle) whose shingle occurs in two groups, with their label."""
+    named = groups.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
+    posts = posts.drop("label").join(named, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+    shared = posts.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("shingle")
+    return cut(posts.join(shared, "shingle", "left_semi"), "live")
+
+
+def _to_hubs(live: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """(u, v): each vertex with the hub, the member of most verified pairs, of each other verified group that it shares a shingle with."""
+    label = groups.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
+    label = label.union(groups.select("v", "v").distinct())
+    ends = edges.select(F.col("u").alias("vertex")).union(edges.select("v")).groupBy("vertex").count()
+    hubs = ends.join(label, "vertex").groupBy("label").agg(F.max(F.struct("count", "vertex")).alias("hub")).select(F.col("label").alias("other"), F.col("hub.vertex").alias("hub"))
+    posted = live.select("shingle", F.col("label").alias("other")).distinct().join(hubs, "other")
+    met = live.join(posted, "shingle").where("label <> other and vertex <> hub")
+    return met.select(F.least("vertex", "hub").alias("u"), F.greatest("vertex", "hub").alias("v")).distinct()
+
+
+def _rest(live: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): all pairs of two groups that share a shingle of their prefixes, but those whose sizes and places there rule out the similarity."""
+    x, y = (live.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("vertex", "label", "size", "at"))) for k in "xy")
+    both = x.join(y, "shingle").where("vertex_x < vertex_y and label_x <> label_y")
+    # at most so many common shingles: those before the places, this one, those after
+    most = F.least("at_x", "at_y") + 1 + F.least(F.expr("size_x - at_x - 1"), F.expr("size_y - at_y - 1"))
+    both = both.where(most >= F.lit(similarity / (1 + similarity)) * F.expr("size_x + size_y") - F.lit(1e-6))
+    return both.select(F.col("vertex_x").alias("u"), F.col("vertex_y").alias("v")).distinct()
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs (doc_id, text, file, row; the latter two tell rows apart): doc_id, file, row, label of its group.
 
-    Groups are connected by pairs of at least this Jaccard similarity of their sets of five-word shingles, checked exactly."""
-    prints = cut(fingerprints(docs, WIDE_SHINGLE, WIDE_WORDS, ("file", "row")), "prints")
+    Groups are connected by all pairs of at least this Jaccard similarity of their sets of five-word shingles, checked exactly."""
+    prints = cut(_printed(docs, similarity), "prints")
     first = F.min(F.struct("file", "row")).alias("first")
     distinct = cut(prints.groupBy("print").agg(first).select("print", "first.*", F.monotonically_increasing_id().alias("vertex")), "distinct")
     near = links(distinct.select("vertex", "print"), WIDE_RADIUS, WIDE_WORDS)
     pairs = cut(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "distance").distinct(), "pairs")
-    members = pairs.select(F.col("u").alias("vertex")).union(pairs.select("v")).distinct()
-    members = cut(distinct.join(members, "vertex", "left_semi").select("vertex", "file", "row"), "members")
-    texts = prefiltered(docs.select("text", "file", "row"), members, ["file", "row"]).join(members, ["file", "row"]).select("vertex", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -339,18 +414,41 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = cut(texts.mapInArrow(shingles, "vertex long, shingles binary"), "shingles")
-    one, two = (sets.withColumnsRenamed({"vertex": c, "shingles": f"{c}_set"}) for c in "uv")
+    def sets_of(vertices: DataFrame) -> DataFrame:
+        members = cut(distinct.join(vertices, "vertex", "left_semi").select("vertex", "file", "row"), "members")
+        texts = prefiltered(docs.select("text", "file", "row"), members, ["file", "row"]).join(members, ["file", "row"]).select("vertex", "text")
+        return cut(texts.mapInArrow(shingles, "vertex long, shingles binary"), "shingles")
+
+    def checked(now: DataFrame) -> DataFrame:
+        one, two = (sets.withColumnsRenamed({"vertex": c, "shingles": f"{c}_set"}) for c in "uv")
+        return cut(now.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set").mapInArrow(check, "u long, v long"), "checked")
+
+    def ends(now: DataFrame) -> DataFrame:
+        return now.select(F.col("u").alias("vertex")).union(now.select("v")).distinct()
+
+    sets = sets_of(ends(pairs))
     edges = None
     for left in reversed(range(ROUNDS)):
         now = cut(_nearest(pairs), "nearest") if left else pairs
-        found = cut(now.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set").mapInArrow(check, "u long, v long"), "checked")
+        found = checked(now)
         edges = found if edges is None else edges.union(found)
         groups = components(edges)
         if left:
             pairs = cut(_apart(pairs.join(now, ["u", "v"], "left_anti"), groups), "pairs")
             if pairs.isEmpty():
                 break
+    # what shards don't offer: pairs whose prefixes meet, first with the hubs of the groups, then all that still lie in two
+    posts = distinct.join(prints.select("file", "row", "size", "prefix"), ["file", "row"]).select("vertex", "size", F.posexplode("prefix").alias("at", "shingle"))
+    for hubs in (True, False):
+        posts = _live(posts, groups)
+        now = cut(_to_hubs(posts, groups, edges) if hubs else _rest(posts, similarity), "met")
+        if now.isEmpty():
+            continue
+        new = cut(ends(now).join(sets, "vertex", "left_anti"), "new")
+        if not new.isEmpty():
+            sets = sets.union(sets_of(new))
+        found = checked(now)
+        edges, groups = edges.union(found), components(groups.union(found))
     groups = groups.withColumnsRenamed({"u": "vertex", "v": "label"})
     labelled = distinct.join(groups, "vertex", "left").select("print", F.coalesce("label", "vertex").alias("label"))
     return prints.join(labelled, "print").select("doc_id", "file", "row", "label")

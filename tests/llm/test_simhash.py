@@ -106,6 +106,36 @@ def test_copies_unlike_one_another_find_their_original(spark, tmp_path):
     assert simhash.near_copies(located).select("label").distinct().count() == 1
 
 
+def _copies(rng, n, changed, agree):
+    """A base of 300 words and n copies with so many of its words changed, whose wide print agrees with the base's on a whole band, or on none."""
+    base = ["w%d" % x for x in rng.integers(10**6, size=300)]
+
+    def bands(words):
+        print_ = simhash.fingerprint(np.unique(simhash.shingle_hashes(" ".join(words), simhash.WIDE_SHINGLE)), simhash.WIDE_WORDS)
+        bits = np.unpackbits(np.frombuffer(print_, np.uint8))
+        return bits[: len(bits) // simhash.BAND * simhash.BAND].reshape(-1, simhash.BAND)
+
+    own, out = bands(base), []
+    while len(out) < n:
+        other = list(base)
+        for i in rng.choice(np.arange(5, 295, 5), changed, replace=False):
+            other[i] = "w%d" % rng.integers(10**6)
+        if (bands(other) == own).all(axis=1).any() == agree:
+            out.append(other)
+    return base, out
+
+
+def _near_labels(spark, tmp_path, rows):
+    docs = documents(spark, tmp_path, [(i, " ".join(r), None, None, None, None, None) for i, r in enumerate(rows)])
+    located = docs.selectExpr("doc_id", "text", "_metadata.file_path as file", "_metadata.row_index as row")
+    return {r["doc_id"]: r["label"] for r in simhash.near_copies(located).collect()}
+
+
+def test_thousands_of_copies_all_find_their_original(spark, tmp_path):
+    base, copies = _copies(np.random.default_rng(17), 4000, 6, True)
+    assert len(set(_near_labels(spark, tmp_path, [*copies, base]).values())) == 1
+
+
 def test_shards_offer_the_nearest_both_ways():
     prints = [(x).to_bytes(8, "big") for x in (0, 0b1, 0b111, 0b11111, 0b11 << 60)]
     found = set(simhash.shard_links(list(range(5)), prints, 4, nearest=1))

@@ -136,6 +136,27 @@ def test_thousands_of_copies_all_find_their_original(spark, tmp_path):
     assert len(set(_near_labels(spark, tmp_path, [*copies, base]).values())) == 1
 
 
+def test_copies_that_agree_on_no_band_are_found(spark, tmp_path):
+    rng, rows = np.random.default_rng(19), []
+    for _ in range(5):
+        base, copies = _copies(rng, 1, 6, False)
+        rows += [base, *copies]
+    label = _near_labels(spark, tmp_path, rows)
+    assert all(label[i] == label[i + 1] for i in range(0, 10, 2)) and len(set(label.values())) == 5
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(23)
+    known = np.sort(rng.choice(1000, 300, replace=False)).astype(np.uint64)
+    common = (known, rng.integers(2, 50, 300))
+    for _ in range(300):
+        x = rng.choice(1000, int(rng.integers(1, 60)), replace=False)
+        y = np.r_[x[int(rng.integers(len(x) // 5 + 1)) :], rng.choice(np.arange(1000, 2000), int(rng.integers(len(x) // 5 + 1)), replace=False)]
+        if len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)):
+            a, b = (simhash.prefix(np.unique(z).astype(np.uint64), common, 0.8) for z in (x, y))
+            assert set(a.tolist()) & set(b.tolist())
+
+
 def test_shards_offer_the_nearest_both_ways():
     prints = [(x).to_bytes(8, "big") for x in (0, 0b1, 0b111, 0b11111, 0b11 << 60)]
     found = set(simhash.shard_links(list(range(5)), prints, 4, nearest=1))

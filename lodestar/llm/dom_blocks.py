@@ -12,7 +12,9 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option optgroup p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no text of the page. For RAW ones, only their own end tag ends them.
-RAW = frozenset("script style title textarea noscript iframe noframes noembed xmp template svg math canvas object audio video".split())
+RAW = frozenset("script style title textarea iframe noframes noembed xmp".split())
+#: Within these, and for them, "/>" ends an element.
+_FOREIGN = ("svg", "math")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag closes these open elements, up to the nearest one of the fences.
@@ -142,7 +144,8 @@ def blocks(page: str | None) -> list[Block]:
                 close(*_IMPLIED[tag])
         elif tag == "br":
             parts.append(" ")
-        if tag not in VOID:
+        ended = page[pos - 2 : pos] == "/>" and (tag in _FOREIGN or any(opened.get(t) for t in _FOREIGN))
+        if tag not in VOID and not ended:
             names = tuple(t.lower() for found in _NAMED.findall(page[m.end() : pos]) for v in found if v for t in _TOKEN.findall(v))
             stack.append(Node(tag, names[:8]))
             opened[tag] = opened.get(tag, 0) + 1

@@ -154,3 +154,12 @@ def test_extract(spark, tmp_path, sf_dir):
     assert html_extract.op5_html(spark, str(tmp_path)).count() == 0
     for r in html_extract.op5_html(spark, sf_dir).collect():
         assert r["text"] and r["n_chars"] == len(r["text"])
+
+
+def test_blocks_keep_what_is_no_raw_text():
+    for tag in "noscript template svg math canvas object audio video".split():
+        assert " ".join(b.text for b in blocks(f"<p>a <{tag}>b</{tag}> c</p><p>d</p>")) == "a b c d"
+        open_ = blocks(f"<div><{tag}>b</div><p>d</p>")
+        assert [b.text for b in open_] == ["b", "d"] and not any(n.tag == tag for n in open_[1].path)
+    assert [[n.tag for n in b.path] for b in blocks("<p>a<svg/></p><p>b</p>")] == [["p"], ["p"]]
+    assert [b.text for b in blocks("<p>a<script>b</script><style>c</style></p>")] == ["a"]

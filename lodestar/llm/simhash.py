@@ -14,22 +14,24 @@ searches it by the shuffle on the route, not by a broadcast from the driver, sin
 fingerprints of all documents, which mustn't pass through the driver.
 
 Near copies at a similarity of 0.8 (the pipeline's stage) differ in too many of 64 bits for that. `near_copies` takes WIDE_WORDS x 64 bits of
-the set of five-word shingles, and every BAND bits as a route, which two documents miss together with a probability that
-`bands_miss` states (2 % at a similarity of 0.8, less above). A shard's tree gives each document its NEAREST nearest ones within
-WIDE_RADIUS, later ones too, and the nearest of each group that came before it. The Jaccard similarity of these pairs is checked exactly, in
-rounds: first each document's nearest, then the nearest that isn't in its group by then, at last all that still lie in two groups. So copies
-that are like their original, but not like one another, find it, and few pairs of a large group are ever checked.
-
-Shards don't offer all similar pairs; the rest is found exactly. Of each set's shingles, ordered by how common they are in a sample and by hash,
-those of the prefix are posted: two sets at least as similar as asked share one there, for any order. Shingles whose documents are one
-verified group by then are dropped. Of the others, each document is checked with the hub of each group that it meets, then all pairs that
-still lie in two groups. The result thus doesn't depend on BAND, NEAREST, WIDE_RADIUS or the sample; only the work does. Documents with an equal
-wide fingerprint count as one.
+the set of five-word shingles, and BANDS runs of bits as routes, which two documents miss together with a probability that
+`bands_miss` states. A run is so long (`band_bits`) that unrelated documents share a shard with few others in any corpus, and shards that are large all
+the same, since they hold copies, are parted by further bits: a shard's search takes time in the square of its rows. Its tree gives each document its
+NEAREST nearest ones within WIDE_RADIUS, later ones too, and the nearest of each group that came before it. The Jaccard similarity of these
+pairs is checked exactly, in rounds: first each document's nearest, then the nearest that isn't in its group by then, at last all that still
+lie in two groups. So few pairs of a large group are ever checked.
+
+Routes, nearest ones and rounds only find most links cheaply; none is lost by them, since the rest is found exactly. Of each set's shingles,
+ordered by how common they are in a sample and by hash, those of the prefix are posted: two sets at least as similar as asked share one there, for any
+order. Shingles whose documents are one verified group by then are dropped. Of the others, each document is checked with the hub that its shingle's
+documents have, then with all whose first common shingle leaves room for the similarity in both sets: rare shingles come first, so sets that share
+only common ones are not paired. The result thus doesn't depend on BAND, NEAREST, WIDE_RADIUS or the sample; only the work
+does. Documents with an equal wide fingerprint count as one.
 
 Defined cases. A null or empty text, or one without a word, has fingerprint 0 and links like any other. Fewer words than
 a shingle: the whole sequence is the only shingle. Null doc_ids: they join groups, and component_id is the smallest doc_id
-that isn't null, or null if there is none. Repeated rows come out as often as they came in. Empty table: empty result.
-Further columns are ignored. doc_ids within 2^40 of the largest long are reserved.
+that isn't null, or null if there is none. Rows with the same doc_id are one document, whose fingerprints are all linked; any long is a
+doc_id. Repeated rows come out as often as they came in. Empty table: empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,11 +53,10 @@ from .components import components
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints in a shard before it refines itself.
 SHARD_ROWS = 4096
-#: Bits of a route of wide fingerprints.
-BAND = 13
+#: Routes of wide fingerprints, their bits at least, and unrelated fingerprints in a shard of them at most.
+BANDS, BAND, SHARD_STRANGERS = 29, 13, 128
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # high bit first
-_NO_ID = (1 << 63) - (1 << 40)
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -127,22 +128,33 @@ def _mixed(value: np.ndarray, which: np.ndarray | int) -> np.ndarray:
     return _remixed(value ^ np.uint64(0x5851F42D4C957F2D), 1) + np.asarray(which, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _routed(prints: DataFrame, level_masks: list[int], fan: int, words: int) -> DataFrame:
+def band_bits(rows: int) -> int:
+    """Bits of a route of wide prints: so many that a shard has SHARD_STRANGERS unrelated fingerprints or fewer, BAND at least."""
+    return max(BAND, (max(1, rows) // SHARD_STRANGERS).bit_length())
+
+
+def band_table(words: int, band: int) -> np.ndarray:
+    """The bits of each of BANDS routes: evenly spaced runs, which overlap where they are long."""
+    bits = 64 * words
+    return (np.arange(BANDS)[:, None] * bits // BANDS + np.arange(band)) % bits
+
+
+def _routed(prints: DataFrame, level_masks: list[int], fan: int, words: int, band: int = BAND) -> DataFrame:
     """(route, mask, vertex, print) for each mask, or at a deeper level for the fan masks below a row's own. Routes are
     hashes: two that collide share a tree, where distances are still the true ones."""
     wide = words > 1
 
     def tasks(batches: Iterator[pa.RecordBatch]):
         table = np.array([] if wide else level_masks, np.uint64)
+        places = band_table(words, band)
         for b in batches:
             data = b.column("print").to_pylist()
             if not data:
                 continue
             if wide:
                 bits = np.unpackbits(np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1), axis=1)
-                bands = bits[:, : bits.shape[1] // BAND * BAND].reshape(len(data), -1, BAND)
-                values = (bands @ (1 << np.arange(BAND)[::-1])).astype(np.uint64)
-                own = np.broadcast_to(np.arange(values.shape[1]), values.shape)
+                values = (bits[:, places] @ (1 << np.arange(band)[::-1])).astype(np.uint64)
+                own = np.broadcast_to(np.arange(BANDS), values.shape)
             else:
                 own = np.broadcast_to(np.arange(len(table)), (len(data), len(table))) if fan == 0 else np.asarray(b.column("mask"))[:, None] * fan + np.arange(fan)
                 values = np.frombuffer(b"".join(data), ">u8").astype(np.uint64)[:, None] & table[own]
@@ -160,6 +172,27 @@ def _routed(prints: DataFrame, level_masks: list[int], fan: int, words: int) ->
     return prints.mapInArrow(tasks, "route long, mask int, vertex long, print binary")
 
 
+def _heavy(routes: DataFrame, rows: int) -> DataFrame | None:
+    """The routes of more than so many rows."""
+    found = cut(routes.groupBy("route").count().where(F.col("count") > rows).select("route"), "heavy")
+    return None if found.isEmpty() else found
+
+
+def _refined(routes: DataFrame, words: int, rows: int) -> DataFrame:
+    """Shards of wide prints with more than so many rows, parted by 16 more bits at a time. Near copies that so lose sight of each other
+    there have the other routes, the hubs, and the prefixes."""
+    done: list[DataFrame] = []
+    for k in range(4 * words):
+        if (heavy := _heavy(routes, rows)) is None:
+            break
+        done.append(routes.join(heavy, "route", "left_anti"))
+        further = F.expr(f"substring(print, pmod(mask + {k}, {4 * words}) * 2 + 1, 2)")
+        routes = cut(routes.join(heavy, "route", "left_semi").withColumn("route", F.xxhash64("route", further)), "refined")
+    for d in done:
+        routes = routes.unionByName(d)
+    return routes
+
+
 class BKTree:
     """Children keyed by integer Hamming distance to the parent; a search follows edges within the radius only."""
 
@@ -257,7 +290,8 @@ def _searched(routes: DataFrame, radius: int, nearest: int) -> DataFrame:
                         out += shard_links(vs, ps, radius, nearest)
                     last, vs, ps = route[s], v, p
                 else:
-                    vs, ps = vs + v, ps + p
+                    vs += v
+                    ps += p
             if out:
                 yield linked(out)
         if len(vs) > 1 and (out := list(shard_links(vs, ps, radius, nearest))):
@@ -266,19 +300,15 @@ def _searched(routes: DataFrame, radius: int, nearest: int) -> DataFrame:
     return routes.repartition("route").sortWithinPartitions("route").mapInArrow(tasks, ", ".join(f"{c} long" for c in names))
 
 
-def links(prints: DataFrame, radius: int, words: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(u, v) between vertices of distinct fingerprints (vertex, print) that lie within the radius; components, not pairs. Of wide
-    ones (u, v, distance): candidates."""
-    levels = masks(radius) if words == 1 else [[]]
-    fan, found, rows = 0, None, prints
+def links(prints: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(u, v) between vertices of distinct fingerprints (vertex, print) that lie within the radius; components, not pairs."""
+    fan, found, rows, levels = 0, None, prints, masks(radius)
     for k, level in enumerate(levels):
-        routes, heavy = _routed(rows, level, fan, words), None
+        routes, heavy = _routed(rows, level, fan, 1), None
         if k + 1 < len(levels):
             routes = cut(routes, "routes")
-            heavy = cut(routes.groupBy("route").count().where(F.col("count") > shard_rows).select("route"), "heavy")
-            if heavy.isEmpty():
-                heavy = None
-        part = _searched(routes if heavy is None else routes.join(heavy, "route", "left_anti"), radius, NEAREST if words > 1 else 0)
+            heavy = _heavy(routes, shard_rows)
+        part = _searched(routes if heavy is None else routes.join(heavy, "route", "left_anti"), radius, 0)
         found = part if found is None else found.unionByName(part)
         if heavy is None:
             break
@@ -286,24 +316,41 @@ def links(prints: DataFrame, radius: int, words: int = 1, shard_rows: int = SHAR
     return found
 
 
+def candidates(prints: DataFrame, radius: int, words: int, shard_rows: int) -> DataFrame:
+    """(u, v, distance) between vertices of distinct wide fingerprints (vertex, print): for each the nearest ones of its shards."""
+    routes = cut(_routed(prints, [], 0, words, band_bits(prints.count())), "routes")
+    return _searched(_refined(routes, words, shard_rows), radius, NEAREST)
+
+
+def _by_id(prints: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(u, v) between the fingerprints of rows that have a doc_id in common."""
+    several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo <> hi")
+    several = cut(several.select("doc_id", F.col("lo").alias("one")), "several")
+    if several.isEmpty():
+        return prints.sparkSession.createDataFrame([], "u long, v long")
+    rows = prints.join(several, "doc_id").select("print", "one").distinct()
+    ends = distinct.select("print", F.col("vertex").alias("u")), distinct.select(F.col("print").alias("one"), F.col("vertex").alias("v"))
+    return rows.join(ends[0], "print").join(ends[1], "one").select("u", "v")
+
+
 def simhash_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs: doc_id, print (bytes) and component_id (the smallest doc_id of its group)."""
     prints = cut(fingerprints(docs, size), "prints")
-    tail = F.pmod(F.xxhash64("print"), F.lit(1 << 40))
-    distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least")).select("print", F.coalesce("least", F.lit(_NO_ID) + tail).alias("vertex")), "distinct")
-    # two fingerprints may have the same least doc_id where rows repeat an id: then they are one vertex, as they are one document
-    groups = components(links(distinct, radius))
-    labelled = distinct.join(groups.withColumnsRenamed({"u": "vertex", "v": "label"}), "vertex", "left").select("print", F.coalesce("label", "vertex").alias("label"))
-    return prints.join(labelled, "print").select("doc_id", "print", F.when(F.col("label") < _NO_ID, F.col("label")).alias("component_id"))
+    distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least")).select("print", "least", F.monotonically_increasing_id().alias("vertex")), "distinct")
+    groups = components(links(distinct, radius).unionByName(_by_id(prints, distinct)))
+    labelled = distinct.join(groups.withColumnsRenamed({"u": "vertex", "v": "label"}), "vertex", "left").select("print", "least", F.coalesce("label", "vertex").alias("label"))
+    labelled = cut(labelled, "labelled")
+    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    return prints.join(labelled.join(least, "label").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
 #: Bits / 64 and radius: two documents of Jaccard similarity J differ in arccos(2 J / (1 + J)) / pi of the bits, 58 of 384 with a standard
 #: deviation of 7 at 0.8; unrelated ones in 192.
 WIDE_WORDS, WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY = 6, 5, 80, 0.8
-#: Candidates of a document in a shard, and rounds in which all are checked.
-NEAREST, ROUNDS = 4, 3
-#: Documents among which common shingles are counted, and shingles that are ordered by that.
-SAMPLED, COMMON = 16_000, 1 << 17
+#: Wide prints in a shard before it is parted; candidates of a document there, rounds in which all are checked, and rounds of hubs after them.
+WIDE_SHARD_ROWS, NEAREST, ROUNDS, HUB_ROUNDS = 1024, 4, 3, 2
+#: Documents among which common shingles are counted (so many, or that share of all), and shingles that are ordered by that.
+SAMPLED, SAMPLED_SHARE, COMMON = 16_000, 1 / 32, 1 << 17
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -321,7 +368,7 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a sample have, sorted, and in how many. They only order shingles: any order gives the same groups."""
-    part = docs.select("text").sample(min(1.0, SAMPLED / max(1, docs.count())), SEED)
+    part = docs.select("text").sample(min(1.0, max(SAMPLED_SHARE, SAMPLED / max(1, docs.count()))), SEED)
 
     def tasks(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -358,7 +405,16 @@ def _printed(docs: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *made], names=[*b.schema.names[1:], "print", "size", "prefix"])
 
     more = StructType.fromDDL("print binary, size int, prefix array<long>")
-    return docs.select("text", "doc_id", "file", "row").mapInArrow(tasks, StructType([*kept.schema.fields, *more.fields]))
+    made = docs.select("text", "doc_id", "file", "row").mapInArrow(tasks, StructType([*kept.schema.fields, *more.fields]))
+    return cut(made.select("*", F.monotonically_increasing_id().alias("vertex")), "prints")
+
+
+def _posts(prints: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(vertex, size, at, shingle): the prefixes' shingles that several vertices have."""
+    posts = prints.select("vertex", "size", F.posexplode("prefix").alias("at", "shingle"))
+    shared = posts.groupBy("shingle").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a < b")
+    shared = cut(shared.select("shingle"), "shared")
+    return cut(prefiltered(posts, shared, ["shingle"]).join(shared, "shingle", "left_semi").join(distinct.select("vertex"), "vertex", "left_semi"), "posts")
 
 
 def _live(posts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -370,34 +426,35 @@ def _live(posts: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _to_hubs(live: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """(u, v): each vertex with the hub, the member of most verified pairs, of each other verified group that it shares a shingle with."""
+    """(u, v): each vertex with the hub of each of its shingles: of the groups that have it, the member of most verified pairs."""
     label = groups.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
     label = label.union(groups.select("v", "v").distinct())
     ends = edges.select(F.col("u").alias("vertex")).union(edges.select("v")).groupBy("vertex").count()
-    hubs = ends.join(label, "vertex").groupBy("label").agg(F.max(F.struct("count", "vertex")).alias("hub")).select(F.col("label").alias("other"), F.col("hub.vertex").alias("hub"))
-    posted = live.select("shingle", F.col("label").alias("other")).distinct().join(hubs, "other")
-    met = live.join(posted, "shingle").where("label <> other and vertex <> hub")
+    hubs = ends.join(label, "vertex").groupBy("label").agg(F.max(F.struct("count", "vertex")).alias("hub"))
+    posted = live.select("shingle", "label").distinct().join(hubs, "label")
+    first = posted.groupBy("shingle").agg(F.max(F.struct("hub", "label")).alias("h")).select("shingle", F.col("h.hub.vertex").alias("hub"), F.col("h.label").alias("other"))
+    met = live.join(first, "shingle").where("label <> other")
     return met.select(F.least("vertex", "hub").alias("u"), F.greatest("vertex", "hub").alias("v")).distinct()
 
 
 def _rest(live: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): all pairs of two groups that share a shingle of their prefixes, but those whose sizes and places there rule out the similarity."""
+    """(u, v): all pairs of two groups whose first common shingle can be one of theirs: those at a place, in a set of a size, that leaves room
+    for the similarity. What comes before the first common one in either set isn't shared, so at most what comes after is."""
+    share = F.lit(similarity / (1 + similarity))
     x, y = (live.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("vertex", "label", "size", "at"))) for k in "xy")
-    both = x.join(y, "shingle").where("vertex_x < vertex_y and label_x <> label_y")
-    # at most so many common shingles: those before the places, this one, those after
-    most = F.least("at_x", "at_y") + 1 + F.least(F.expr("size_x - at_x - 1"), F.expr("size_y - at_y - 1"))
-    both = both.where(most >= F.lit(similarity / (1 + similarity)) * F.expr("size_x + size_y") - F.lit(1e-6))
-    return both.select(F.col("vertex_x").alias("u"), F.col("vertex_y").alias("v")).distinct()
+    y = y.where(F.expr("size_y - at_y") >= share * 2 * F.col("size_y") - F.lit(1e-6))  # of two sets that of fewer, and it must have room beside one as large
+    both = x.join(y, "shingle").where("label_x <> label_y and (size_x > size_y or (size_x = size_y and vertex_x > vertex_y))")
+    both = both.where(F.least(F.expr("size_x - at_x"), F.expr("size_y - at_y")) >= share * F.expr("size_x + size_y") - F.lit(1e-6))
+    return both.select(F.least("vertex_x", "vertex_y").alias("u"), F.greatest("vertex_x", "vertex_y").alias("v")).distinct()
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shard_rows: int = WIDE_SHARD_ROWS) -> DataFrame:
     """One row per row of docs (doc_id, text, file, row; the latter two tell rows apart): doc_id, file, row, label of its group.
 
     Groups are connected by all pairs of at least this Jaccard similarity of their sets of five-word shingles, checked exactly."""
-    prints = cut(_printed(docs, similarity), "prints")
-    first = F.min(F.struct("file", "row")).alias("first")
-    distinct = cut(prints.groupBy("print").agg(first).select("print", "first.*", F.monotonically_increasing_id().alias("vertex")), "distinct")
-    near = links(distinct.select("vertex", "print"), WIDE_RADIUS, WIDE_WORDS)
+    prints = _printed(docs, similarity)
+    distinct = cut(prints.groupBy("print").agg(F.min(F.struct("vertex", "file", "row")).alias("first")).select("print", "first.*"), "distinct")
+    near = candidates(distinct.select("vertex", "print"), WIDE_RADIUS, WIDE_WORDS, shard_rows)
     pairs = cut(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "distance").distinct(), "pairs")
 
     def shingles(batches: Iterator[pa.RecordBatch]):
@@ -427,37 +484,44 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return now.select(F.col("u").alias("vertex")).union(now.select("v")).distinct()
 
     sets = sets_of(ends(pairs))
-    edges = None
+    edges = tried = None
     for left in reversed(range(ROUNDS)):
         now = cut(_nearest(pairs), "nearest") if left else pairs
         found = checked(now)
         edges = found if edges is None else edges.union(found)
+        tried = now.select("u", "v") if tried is None else tried.union(now.select("u", "v"))
         groups = components(edges)
         if left:
             pairs = cut(_apart(pairs.join(now, ["u", "v"], "left_anti"), groups), "pairs")
             if pairs.isEmpty():
                 break
     # what shards don't offer: pairs whose prefixes meet, first with the hubs of the groups, then all that still lie in two
-    posts = distinct.join(prints.select("file", "row", "size", "prefix"), ["file", "row"]).select("vertex", "size", F.posexplode("prefix").alias("at", "shingle"))
-    for hubs in (True, False):
-        posts = _live(posts, groups)
-        now = cut(_to_hubs(posts, groups, edges) if hubs else _rest(posts, similarity), "met")
+    posts, joined = _posts(prints, distinct), True
+    for left in reversed(range(HUB_ROUNDS + 1)):
+        if joined:
+            posts, joined = _live(posts, groups), False
+        elif left:
+            continue
+        now = _to_hubs(posts, groups, edges) if left else _rest(posts, similarity)
+        now = cut(now.join(tried, ["u", "v"], "left_anti"), "met")
         if now.isEmpty():
             continue
         new = cut(ends(now).join(sets, "vertex", "left_anti"), "new")
         if not new.isEmpty():
             sets = sets.union(sets_of(new))
         found = checked(now)
-        edges, groups = edges.union(found), components(groups.union(found))
+        tried = tried.union(now)
+        if joined := not found.isEmpty():
+            edges, groups = edges.union(found), components(groups.union(found))
     groups = groups.withColumnsRenamed({"u": "vertex", "v": "label"})
     labelled = distinct.join(groups, "vertex", "left").select("print", F.coalesce("label", "vertex").alias("label"))
-    return prints.join(labelled, "print").select("doc_id", "file", "row", "label")
+    return prints.select("doc_id", "file", "row", "print").join(labelled, "print").select("doc_id", "file", "row", "label")
 
 
-def bands_miss(jaccard: float, words: int) -> float:
+def bands_miss(jaccard: float, band: int = BAND) -> float:
     """The probability that no band of two documents of this similarity agrees (bits taken as independent)."""
     agree = 1 - np.arccos(2 * jaccard / (1 + jaccard)) / np.pi
-    return float((1 - agree**BAND) ** (64 * words // BAND))
+    return float((1 - agree**band) ** BANDS)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

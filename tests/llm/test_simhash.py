@@ -28,7 +28,8 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2 and root(i) != root(j):
+            same = rows[i][0] is not None and rows[i][0] == rows[j][0]
+            if ((prints[i] ^ prints[j]).bit_count() <= 2 or same) and root(i) != root(j):
                 label[root(i)] = root(j)
     out = []
     for i, r in enumerate(rows):
@@ -37,7 +38,14 @@ def brute(rows):
     return sorted(out, key=lambda r: tuple((x is not None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("rows", [DOCUMENTS, [], [(None, "a b c d", None, None, None, None, None)]])
+_IDS = [(5, "one text of some words"), (5, "quite another that shares no word"), (9, "quite another that shares no word"), (-(1 << 63), "far away it lies, alone"), ((1 << 63) - 1, "the last of all longs"), ((1 << 63) - 2, "the last of all longs"), (None, "a b c d")]
+
+
+def padded(rows):
+    return [(*r, None, None, None, None, None) for r in rows]
+
+
+@pytest.mark.parametrize("rows", [DOCUMENTS, [], [(None, "a b c d", None, None, None, None, None)], padded(_IDS), padded([(1, _IDS[0][1]), *_IDS])])
 def test_small(spark, tmp_path, rows):
     documents(spark, tmp_path, rows)
     assert rows_of(simhash.op1_simhash(spark, str(tmp_path))) == brute(rows)
@@ -171,4 +179,25 @@ def test_components(spark):
 
 
 def test_bands():
-    assert simhash.bands_miss(0.8, simhash.WIDE_WORDS) < 0.03 and simhash.bands_miss(0.9, simhash.WIDE_WORDS) < 0.001
+    assert simhash.bands_miss(0.8) < 0.03 and simhash.bands_miss(0.9) < 0.001
+    for rows in (0, 1, 10**6, 10**8, 10**10):
+        assert rows / 2 ** simhash.band_bits(rows) <= simhash.SHARD_STRANGERS and simhash.band_table(6, simhash.band_bits(rows)).shape[0] == simhash.BANDS
+
+
+def test_parted_shards_lose_no_group(spark, tmp_path):
+    rng = np.random.default_rng(29)
+    base, copies = _copies(rng, 600, 6, True)
+    other, more = _copies(rng, 300, 5, True)
+    docs = documents(spark, tmp_path, [(i, " ".join(r), None, None, None, None, None) for i, r in enumerate([*copies, base, other, *more])])
+    located = docs.selectExpr("doc_id", "text", "_metadata.file_path as file", "_metadata.row_index as row")
+    label = {r["doc_id"]: r["label"] for r in simhash.near_copies(located, shard_rows=20).collect()}
+    assert len({label[i] for i in range(601)}) == 1 and len({label[i] for i in range(601, 902)}) == 1 and len(set(label.values())) == 2
+
+
+def test_pairs_that_only_share_common_shingles_are_not_checked(spark):
+    """Sets of 100 shingles, of which the last 70 of the order are common to all: no two are met."""
+    rows = [(v, 100, at, (v * 100 + at if at < 12 else at), v) for v in range(200) for at in range(21)]
+    live = spark.createDataFrame(rows, "vertex long, size int, at int, shingle long, label long")
+    assert simhash._rest(live, 0.8).count() == 0
+    near = [(v, 100, at, (v * 100 + at if at < 11 else at), v) for v in range(3) for at in range(21)]
+    assert simhash._rest(spark.createDataFrame(near, live.schema), 0.8).count() == 3

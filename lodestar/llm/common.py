@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +27,72 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the setting is absent (a local session in tests) a temporary folder takes its place."""
+    Only where the setting is absent and the session is local (in tests) a temporary folder takes its place; on a cluster
+    that would be a folder of each machine's own, so there the setting must be there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master: {master})")
         found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's part of the shared folder, which goes when the driver ends or clear_scratch() is called."""
+    if not _cleared:
+        atexit.register(clear_scratch, spark)
+        _cleared.append(True)
+    path = f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+_cleared: list[bool] = []
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is None or spark.sparkContext._jsc is None:  # the session is over
+        return
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that this application's operators wrote in the shared folder: no result of theirs can be read any more."""
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}")
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Gives keep(); what scratch() and cut() made within is deleted at the end, but for what keep() was given: frames of cut(), or paths."""
+    mine: list[str] = []
+    kept: list[str] = []
+    _scopes.append(mine)
+
+    def keep(*made: DataFrame | str) -> None:
+        kept.extend(m if isinstance(m, str) else m._scratch for m in made)
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            if path not in kept:
+                _delete(spark, path)
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
+def locator(docs: DataFrame) -> tuple[Column, Column]:
+    """Where a row lies, as columns file and row, for a frame that comes straight from files; a column named _metadata doesn't hide it."""
+    at = docs.metadataColumn("_metadata")
+    return at.getField("file_path").alias("file"), at.getField("row_index").alias("row")
 
 
 def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
@@ -52,7 +110,9 @@ def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def text_or_empty(col: str = "text") -> Column:

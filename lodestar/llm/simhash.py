@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut, prefiltered, read_table
+from .common import cut, prefiltered, read_table, scope
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -335,11 +335,13 @@ def _by_id(prints: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs: doc_id, print (bytes) and component_id (the smallest doc_id of its group)."""
-    prints = cut(fingerprints(docs, size), "prints")
-    distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least")).select("print", "least", F.monotonically_increasing_id().alias("vertex")), "distinct")
-    groups = components(links(distinct, radius).unionByName(_by_id(prints, distinct)))
-    labelled = distinct.join(groups.withColumnsRenamed({"u": "vertex", "v": "label"}), "vertex", "left").select("print", "least", F.coalesce("label", "vertex").alias("label"))
-    labelled = cut(labelled, "labelled")
+    with scope(docs.sparkSession) as keep:
+        prints = cut(fingerprints(docs, size), "prints")
+        distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least")).select("print", "least", F.monotonically_increasing_id().alias("vertex")), "distinct")
+        groups = components(links(distinct, radius).unionByName(_by_id(prints, distinct)))
+        labelled = distinct.join(groups.withColumnsRenamed({"u": "vertex", "v": "label"}), "vertex", "left").select("print", "least", F.coalesce("label", "vertex").alias("label"))
+        labelled = cut(labelled, "labelled")
+        keep(prints, labelled)
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return prints.join(labelled.join(least, "label").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
@@ -452,6 +454,13 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shard_rows: int
     """One row per row of docs (doc_id, text, file, row; the latter two tell rows apart): doc_id, file, row, label of its group.
 
     Groups are connected by all pairs of at least this Jaccard similarity of their sets of five-word shingles, checked exactly."""
+    with scope(docs.sparkSession) as keep:
+        out = cut(_near_copies(docs, similarity, shard_rows), "groups")
+        keep(out)
+    return out
+
+
+def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
     prints = _printed(docs, similarity)
     distinct = cut(prints.groupBy("print").agg(F.min(F.struct("vertex", "file", "row")).alias("first")).select("print", "first.*"), "distinct")
     near = candidates(distinct.select("vertex", "print"), WIDE_RADIUS, WIDE_WORDS, shard_rows)

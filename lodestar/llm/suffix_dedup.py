@@ -10,11 +10,12 @@ only routes with several ever reach the transform. Equality of segments is by tw
 Scale. Three shuffles of bounded rows: hashes of runs (about one run for 17 bytes, packed by byte planes), and the texts, by document, twice:
 to cut out the segments that are asked for, and to remove what is covered. A bucket stands for BUCKET_BYTES of text, whatever the table's
 size, and a task holds one bucket at a time. A run that many documents share is settled in the task that reads them, which passes on only
-its smallest document, so a passage in a third of all documents sends one row for each FLUSH_BYTES of text.
-Nothing passes through the driver.
+its smallest document, so a passage in a third of all documents sends one row for each FLUSH_BYTES of text. A string that many documents have
+in different surroundings makes a hot route of many segments: such routes are found in a sample and parted by the bytes around the string
+(_parted), up to whole windows, so that their segments spread over all buckets. Nothing but at most HOT_ROUTES routes passes through the driver.
 
-Defined cases. A null text is empty. Documents with the same doc_id don't cover each other, nor do null doc_ids, which count as larger than
-all others (the largest long is reserved for them). Rows that repeat come out as often as they came in. Texts shorter than LENGTH bytes lose nothing.
+Defined cases. A null text is empty. Any long is a doc_id, negative ones too. Documents with the same doc_id don't cover each other, nor do
+null doc_ids, which count as larger than all others. Rows that repeat come out as often as they came in. Texts shorter than LENGTH bytes lose nothing.
 An empty table gives an empty result. Further columns are ignored.
 """
 
@@ -29,14 +30,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import shared_windows
-from .common import cut, read_table
+from .common import cut, read_table, scope
 
 LENGTH, K = 50, 20
 #: Text for a bucket, and text after which a task passes on its runs. Windows in a run at most.
 BUCKET_BYTES, FLUSH_BYTES, RUN = 8 << 20, 12 << 20, 64
+#: A route of more segments is hot, and parted; hot routes are sought in a sample (of so many bytes, or that share); the hottest are parted first.
+HOT_SEGMENTS, SAMPLE_BYTES, SAMPLE_SHARE, HOT_ROUTES = 20_000, 16 << 20, 1 / 64, 1 << 16
+#: Times that a hot route is halved at most: after that it has one window's text.
+LEVELS = 5
 
-_NO_ID = (1 << 63) - 1
+#: Documents carry unsigned numbers in the order of their ids; a variant tells texts of one id apart, and has this bit where there is no id.
+_SIGN, _NO_ID = 1 << 63, 1 << 31
 _CHUNK = 1 << 20
+#: Tasks of the transforms at most.
+TASKS = 1 << 15
 #: Texts, or packed rows, that a Python function gets at a time.
 _TEXTS, _BLOBS = 1000, 32
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -51,8 +59,41 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(text number, start, windows, route, segment hash) of all runs of the texts."""
+def _parted(route: np.ndarray, at: np.ndarray, gram: np.ndarray, hot: np.ndarray, length: int, k: int) -> None:
+    """Replaces the routes of windows (at: their starts) that are hot, until they aren't.
+
+    A window's place around its least string is halved LEVELS times. All windows of a place's interval contain certain bytes around
+    that string, the more the shorter the interval is; these bytes and the interval are the new route, so it still is a function of the window alone."""
+    width = length - k + 1
+    for first in range(0, len(at), 1 << 16):
+        now = slice(first, first + (1 << 16))
+        which = first + np.flatnonzero(_among(route[now], hot))
+        if not len(which):
+            continue
+        begin = at[which]
+        place = gram[begin[:, None] + np.arange(width)].argmin(axis=1)
+        for level in range(1, LEVELS + 1):
+            edges = np.arange((1 << level) + 1) * width >> level
+            part = np.searchsorted(edges, place, "right") - 1
+            low, size = edges[part], length - (edges[part + 1] - 1 - edges[part])
+            start = begin + place - low
+            value = gram[start] * _A + (part + (level << 8)).astype(np.uint64)
+            for offset in (np.minimum(k, size - k), size - k):
+                value = _mixed(value) * _A + gram[start + offset]
+            route[which] = _mixed(value * _B) >> np.uint64(16)
+            on = _among(route[which], hot)
+            which, begin, place = which[on], begin[on], place[on]
+            if not len(which):
+                break
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the known ones, which are sorted."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def runs(texts: list[bytes], length: int = LENGTH, k: int = K, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text number, start, windows, route, segment hash) of all runs of the texts. hot: routes to part, sorted."""
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     data = np.frombuffer(b"".join(texts) + bytes(RUN + length + 8), np.uint8)
@@ -73,7 +114,9 @@ def runs(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarr
     np.add.at(mark, (starts + sizes - length + 1)[long], -1)
     at = np.flatnonzero(np.cumsum(mark[:n], dtype=np.int8))
     of = np.repeat(np.arange(len(texts)), sizes)[at]
-    value = low[at]
+    value = _mixed(low[at] * _B) >> np.uint64(16)  # least hashes are small; routes are spread evenly
+    if hot is not None and len(hot):
+        _parted(value, at, gram, hot, length, k)
     head = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (of[1:] != of[:-1])]) if len(at) else np.empty(0, np.int64)
     count = np.diff(np.r_[head, len(at)])
     parts = -(-count // RUN)  # long runs (of texts that repeat themselves) in pieces
@@ -85,8 +128,7 @@ def runs(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarr
     segment = count.astype(np.uint64)
     for j in range(0, RUN + length, k):
         segment = _mixed(segment * _A + gram[np.minimum(begin + j, last)])
-    route = _mixed(value[head] * _B)  # least hashes are small; routes are spread evenly
-    return of[head], begin - starts[of[head]], count, route >> np.uint64(16), segment >> np.uint64(16)
+    return of[head], begin - starts[of[head]], count, value[head], segment >> np.uint64(16)
 
 
 def packed(columns, sizes: tuple[int, ...]) -> bytes:
@@ -112,6 +154,11 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, np.diff(np.r_[heads, len(key)])
 
 
+def _less(doc: np.ndarray, variant: np.ndarray, least: np.ndarray, least_variant: np.ndarray) -> np.ndarray:
+    """Whether the second document is smaller: by number, and those without an id are larger than all others."""
+    return (least < doc) | ((least == doc) & (least_variant < _NO_ID) & (variant >= _NO_ID))
+
+
 def _part(doc: np.ndarray, variant: np.ndarray, parts: int) -> np.ndarray:
     return (_mixed(doc * _A + variant) % np.uint64(parts)).astype(np.int64)
 
@@ -139,23 +186,27 @@ def _covered(doc, variant, start, count, parts: int, bucket=None) -> list[tuple]
     return [(p if bucket is None else bucket, _REPLY, p, blob) for p, blob in _dealt(part, [doc, variant, start, count], _COVER_BYTES)]
 
 
-def _map(batches: Iterator[pa.RecordBatch], buckets: int, parts: int, flush: int) -> Iterator[pa.RecordBatch]:
+def _numbers(doc) -> np.ndarray:
+    return np.asarray(doc, np.int64).view(np.uint64) ^ np.uint64(_SIGN)
+
+
+def _map(batches: Iterator[pa.RecordBatch], buckets: int, parts: int, flush: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(doc, variant, text) to runs, by bucket of their route; runs that a smaller document of the same flush has are replies already."""
     held: list[list[np.ndarray]] = []
     texts, docs, variants, size, total = [], [], [], 0, 0
 
     def chunk() -> None:
-        of, start, count, route, segment = runs(texts)
-        held.append([route, segment, np.array(docs, np.uint64)[of], np.array(variants, np.uint64)[of], start.astype(np.uint64), count.astype(np.uint64)])
+        of, start, count, route, segment = runs(texts, hot=hot)
+        held.append([route, segment, _numbers(docs)[of], np.array(variants, np.uint64)[of], start.astype(np.uint64), count.astype(np.uint64)])
 
     def flushed() -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate(c) for c in zip(*held, strict=True)]
         held.clear()
-        o = np.lexsort((cols[2], cols[1], cols[0]))
-        route, segment, doc, *_ = cols = [c[o] for c in cols]
+        o = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
+        route, segment, doc, variant, *_ = cols = [c[o] for c in cols]
         heads = np.flatnonzero(np.r_[True, (route[1:] != route[:-1]) | (segment[1:] != segment[:-1])]) if len(route) else np.empty(0, np.int64)
-        least = np.repeat(doc[heads], np.diff(np.r_[heads, len(route)]))
-        more = doc > least
+        least = np.repeat(heads, np.diff(np.r_[heads, len(route)]))
+        more = _less(doc, variant, doc[least], variant[least])
         yield from _rows([(p % buckets, k, p, d) for _, k, p, d in _covered(*(c[more] for c in cols[2:]), parts)])
         cols = [c[~more] for c in cols]
         bucket = ((cols[0] >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -190,17 +241,18 @@ def _reduce(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
         heads, sizes = _groups(cols[0])
         many = np.repeat(sizes > 1, sizes)
         cols = [c[many] for c in cols]
-        o = np.lexsort((cols[2], cols[1], cols[0]))
+        o = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
         route, segment, doc, variant, start, count = [c[o] for c in cols]
         if not len(route):
             return []
         head = np.flatnonzero(np.r_[True, (route[1:] != route[:-1]) | (segment[1:] != segment[:-1])])
         sizes = np.diff(np.r_[head, len(route)])
-        least = np.repeat(doc[head], sizes)
-        more = doc > least
+        least = np.repeat(head, sizes)
+        more = _less(doc, variant, doc[least], variant[least])
         rows = _covered(doc[more], variant[more], start[more], count[more], parts, bucket)
         top, width = _groups(route[head])
-        differ = np.minimum.reduceat(doc[head], top) != np.maximum.reduceat(doc[head], top)
+        unnamed = variant[head] >> np.uint64(31)
+        differ = (np.minimum.reduceat(doc[head], top) != np.maximum.reduceat(doc[head], top)) | (np.minimum.reduceat(unnamed, top) != np.maximum.reduceat(unnamed, top))
         ask = np.repeat(np.repeat(differ, width), sizes) & ~more
         part = _part(doc[ask], variant[ask], parts)
         return rows + [(bucket, _ASK, p, blob) for p, blob in _dealt(part, [doc[ask], variant[ask], start[ask], count[ask]], _COVER_BYTES)]
@@ -256,7 +308,7 @@ def _by_part(batches: Iterator[pa.RecordBatch], kind_of_notes: int):
             if kind == kind_of_notes:
                 notes.add(p, bucket, data)
             else:
-                yield doc, variant, data, notes
+                yield doc + _SIGN, variant, data, notes
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,6 +336,16 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flushed()
 
 
+def _ranks(doc: np.ndarray, variant: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the documents, equal for the same one."""
+    unnamed = variant >= _NO_ID
+    o = np.lexsort((unnamed, doc))
+    new = np.r_[False, (doc[o][1:] != doc[o][:-1]) | (unnamed[o][1:] != unnamed[o][:-1])]
+    out = np.empty(len(doc), np.int64)
+    out[o] = np.cumsum(new)
+    return out
+
+
 def _expand(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """A bucket's segments to replies, by the transform of their texts."""
 
@@ -299,7 +361,7 @@ def _expand(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
                 at += c
         doc, variant, start, _ = (np.concatenate(c) for c in zip(*numbers, strict=True))
         # a document may be cut out twice where its rows repeat
-        found = shared_windows(texts, doc.astype(np.int64), LENGTH)
+        found = shared_windows(texts, _ranks(doc, variant), LENGTH)
         if not found:
             return []
         which, offset, count = (np.array(c, np.uint64) for c in zip(*found, strict=True))
@@ -343,7 +405,7 @@ def _final(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.Record
             kept.append(text[at:s])
             at = e
         rest = b"".join([*kept, text[at:]])
-        rows.append((None if doc == _NO_ID else doc, len(text), len(text) - len(rest), len(spans), rest if texts else hashlib.sha256(rest).digest(), [x for s in spans for x in s]))
+        rows.append((None if variant >= _NO_ID else doc - _SIGN, len(text), len(text) - len(rest), len(spans), rest if texts else hashlib.sha256(rest).digest(), [x for s in spans for x in s]))
         if len(rows) >= 256:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SPANS, strict=True)], schema=_SPANS)
             rows = []
@@ -351,26 +413,57 @@ def _final(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SPANS, strict=True)], schema=_SPANS)
 
 
-def substring_dedup(docs: DataFrame, texts: bool = True, bucket_bytes: int = BUCKET_BYTES, flush: int = FLUSH_BYTES) -> DataFrame:
+def _hot_routes(rows: DataFrame, total: int, segments: int) -> np.ndarray:
+    """Routes of so many segments or more, and those of their parts that still have as many: found in a sample. Any set of routes gives the same
+    result, so a missed one costs time alone; HOT_ROUTES bounds what the driver gets."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(1, total)))
+    hot = np.empty(0, np.uint64)
+    for _ in range(LEVELS):
+
+        def count(batches: Iterator[pa.RecordBatch], hot=hot):
+            for b in batches:
+                if b.num_rows:
+                    *_, route, segment = runs(b.column(0).to_pylist(), hot=hot)
+                    one = np.unique(np.stack([route, segment]), axis=1)[0] if len(route) else route
+                    found, n = np.unique(one, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["route", "n"])
+
+        counts = rows.select("text").sample(share, 1).mapInArrow(count, "route long, n long").groupBy("route").agg(F.sum("n").alias("n"))
+        top = counts.where(F.col("n") >= max(2.0, segments * share)).orderBy(F.desc("n"), "route").limit(HOT_ROUTES).toArrow()
+        more = np.setdiff1d(top.column("route").to_numpy().view(np.uint64), hot)
+        hot = np.union1d(hot, more)
+        if not len(more) or len(hot) >= HOT_ROUTES:
+            break
+    return hot
+
+
+def substring_dedup(docs: DataFrame, texts: bool = True, bucket_bytes: int = BUCKET_BYTES, flush: int = FLUSH_BYTES, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; their SHA-256 unless texts), spans (begin
     and end of each removed run, in turn)."""
+    with scope(docs.sparkSession) as keep:
+        out = _deduplicated(docs, texts, bucket_bytes, flush, hot_segments)
+        keep(out)
+    return out
+
+
+def _deduplicated(docs: DataFrame, texts: bool, bucket_bytes: int, flush: int, hot_segments: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    doc = F.coalesce("doc_id", F.lit(_NO_ID))
+    largest = F.lit((1 << 63) - 1)
+    doc, unnamed = F.coalesce("doc_id", largest), F.when(F.col("doc_id").isNull(), F.lit(_NO_ID)).otherwise(0).cast("long")
     # rows that share a doc_id but not the text need a second key
     same = docs.select(doc.alias("doc"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n")).groupBy("doc").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.sum("n").alias("n"))
     same = cut(same.select("doc", "n", (F.col("lo") != F.col("hi")).alias("split")), "texts")
     total = same.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     split = same.where("split").select("doc")
-    rows = docs.select(doc.alias("doc"), text.cast("binary").alias("text"))
-    if split.isEmpty():
-        rows = rows.select("doc", F.lit(0).alias("variant"), "text")
-    else:
-        code = F.xxhash64(F.col("text")).bitwiseAND(0x7FFFFFFF).cast("int")
-        rows = rows.join(split.withColumn("is_split", F.lit(True)), "doc", "left").select("doc", F.when(F.col("is_split"), code).otherwise(0).alias("variant"), "text")
+    rows = docs.select(doc.alias("doc"), unnamed.alias("variant"), text.cast("binary").alias("text"))
+    if not split.isEmpty():
+        code = F.xxhash64(F.col("text")).bitwiseAND(0x7FFFFFFF)
+        rows = rows.join(split.withColumn("is_split", F.lit(True)), "doc", "left").select("doc", (F.col("variant") + F.when(F.col("is_split"), code).otherwise(0)).alias("variant"), "text")
     buckets = parts = max(1, -(-total // bucket_bytes))
+    hot = _hot_routes(rows, total, hot_segments)
 
     def map_(batches):
-        yield from _map(batches, buckets, parts, flush)
+        yield from _map(batches, buckets, parts, flush, hot)
 
     def reduce_(batches):
         yield from _reduce(batches, parts)
@@ -385,17 +478,17 @@ def substring_dedup(docs: DataFrame, texts: bool = True, bucket_bytes: int = BUC
     def part_of(d, v):
         import pandas as pd
 
-        return pd.Series(_part(d.to_numpy().astype(np.uint64), v.to_numpy().astype(np.uint64), parts))
+        return pd.Series(_part(_numbers(d.to_numpy()), v.to_numpy().astype(np.uint64), parts))
 
     judged = cut(rows.mapInArrow(map_, _ROW).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce_, _ROW), "judged", _BLOBS)
     by_doc = rows.select(part_of("doc", "variant").alias("part"), F.lit(_TEXT).alias("kind"), F.lit(0).cast("long").alias("bucket"), "doc", "variant", F.col("text").alias("data"))
 
     def met(notes: DataFrame) -> DataFrame:
-        said = notes.select("part", "kind", "bucket", F.lit(0).cast("long").alias("doc"), F.lit(0).alias("variant"), "data")
+        said = notes.select("part", "kind", "bucket", F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("variant"), "data")
         return said.union(by_doc).repartition("part").sortWithinPartitions("part", "kind")
 
     segments = met(judged.where(F.col("kind") == _ASK)).mapInArrow(_segments, _ROW)
-    more = cut(segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(expand_, _ROW), "expanded", _TEXTS)
+    more = cut(segments.repartition(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(expand_, _ROW), "expanded", _TEXTS)
     covered = judged.where(F.col("kind") == _REPLY).union(more)
     return cut(met(covered).mapInArrow(final_, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>"), "deduplicated", _TEXTS)
 

@@ -217,6 +217,24 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+CLASHING = "_metadata __key __copies __score __file __row __copy file row key copies score own label vertex print size p node copy".split()
+
+
+def test_pipeline_and_queries_with_columns_of_any_name(spark, tmp_path):
+    from lodestar.llm import exact_dedup, simhash, suffix_dedup
+
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(30)), "en", "ab"[i % 2], 1, *range(len(CLASHING))) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHING)
+    table(spark, tmp_path, "documents", rows, schema)
+    table(spark, tmp_path, "labels", [], "doc_id long, quality int, toxic int")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 1
+    for query in (simhash.op1_simhash, exact_dedup.op3_exact_dedup, suffix_dedup.op6_suffix_dedup, mixing.op10_mixing):
+        assert query(spark, str(tmp_path)).count() == 6
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
 def test_rows_without_ids_share_no_bucket(spark, tmp_path):
     rows = [(None, "w " * (i % 97 + 1), None, "ab"[i % 2], None, None, None) for i in range(4000)]
     mixed = mixing.mix(documents(spark, tmp_path, rows), bucket_rows=100, fan_in=4)

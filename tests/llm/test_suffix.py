@@ -3,12 +3,12 @@ import hashlib
 import numpy as np
 import pytest
 
-from lodestar.llm import bwt
+from lodestar.llm import bwt, suffix_dedup
 from lodestar.llm.suffix_dedup import op6_suffix_dedup, substring_dedup
 
 from .helpers import DOCUMENTS, documents, key
 
-_NO_ID = (1 << 63) - 1
+_NO_ID = 1 << 63
 
 
 def brute(docs, n=50):
@@ -42,6 +42,10 @@ CASES = [
     (7, None),
     (None, SHARED + "!"),
     (None, "é" * 30),
+    (-5, "0123456789" * 4 + SHARED),
+    (-(1 << 63), "far below" + SHARED[10:]),
+    ((1 << 63) - 1, "of the largest id, " + "0123456789abcdefghij" * 3),
+    (None, "of no id, " + "0123456789abcdefghij" * 3),
 ]
 
 
@@ -54,6 +58,54 @@ def test_small(spark, tmp_path, rows, size):
     assert sorted(got, key=key) == brute(rows)
 
 
+def _hot_rows(n=700):
+    """A string of 20 bytes in every document, amid others; one of 40 in a third, with few surroundings; and windows that some share."""
+    rng = np.random.default_rng(8)
+    word = lambda k: "".join(map(chr, rng.integers(97, 123, k)))
+    shared = [word(60) + "<twenty bytes, always>" + word(60) for _ in range(9)]
+    rows = []
+    for i in range(n):
+        body = word(70) + (shared[i % 9] if i % 5 == 0 else word(40) + "<twenty bytes, always>" + word(40))
+        if i % 3 == 0:
+            body += word(10 + i % 7) + "a string of forty bytes that a third has" + word(8) + "ab"[i % 2] * 9
+        rows.append((i - n // 2, body))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [40, 10**9])
+def test_a_string_in_every_document(spark, tmp_path, limit):
+    rows = _hot_rows()
+    docs = documents(spark, tmp_path, [(*r, None, None, None, None, None) for r in rows])
+    out = substring_dedup(docs, texts=False, bucket_bytes=1 << 14, flush=1 << 14, hot_segments=limit)
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]).hex()) for r in out.collect()), key=key) == brute(rows)
+
+
+def test_hot_routes_are_parted(spark):
+    rows = _hot_rows(2000)
+    texts = [t.encode() for _, t in rows]
+
+    def largest(hot):
+        *_, route, segment = suffix_dedup.runs(texts, hot=hot)
+        pairs = np.unique(np.stack([route, segment]), axis=1)
+        return np.unique(pairs[0], return_counts=True)[1].max()
+
+    df = spark.createDataFrame([(t,) for t in texts], "text binary")
+    hot = suffix_dedup._hot_routes(df, sum(map(len, texts)), 50)
+    assert largest(None) > 500 and largest(hot) < 100
+
+
+def test_parting_keeps_equal_windows_together():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 99, 400).astype(np.uint8)) + b"x" * 80 + bytes([97 + i % 2]) * 70 for i in range(20)]
+    _, _, _, route, _ = suffix_dedup.runs(texts)
+    hot = np.unique(route)
+    for known in (hot, hot[::2], np.unique(np.concatenate([hot, suffix_dedup.runs(texts, hot=hot)[3]]))):
+        seen = {}
+        for of, start, count, r, _ in zip(*suffix_dedup.runs(texts, hot=known)):
+            for i in range(int(start), int(start + count)):
+                assert seen.setdefault(texts[of][i : i + 50], r) == r
+
+
 def test_whole_table(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in op6_suffix_dedup(spark, sf_dir).collect()), key=key) == brute(docs)

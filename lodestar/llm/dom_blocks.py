@@ -33,22 +33,33 @@ _NEXT = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 _QUOTED = re.compile(r"""=\s*(["'])""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Ancestors that give a block features, the nearest ones.
-DEPTH = 24
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Node:
+    """An element with all words of its class, id and role. place: for those who derive something from it and what is above it."""
+
     tag: str
     names: tuple[str, ...]
+    above: Node | None
+    place: object = None
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[Node, ...]
+    node: Node | None
     linked: int
 
+    @property
+    def path(self) -> list[Node]:
+        """The elements above it, outermost first."""
+        out, node = [], self.node
+        while node is not None:
+            out.append(node)
+            node = node.above
+        return out[::-1]
+
 
 def _tag_end(page: str, at: int, hopeless: set[str]) -> int:
     """The place after the tag's `>`, quoted values aside; hopeless: quotes that don't occur again."""
@@ -87,7 +98,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(stack[-DEPTH:]), min(linked, len(text))))
+                out.append(Block(text, stack[-1] if stack else None, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -132,6 +143,10 @@ def blocks(page: str | None) -> list[Block]:
         if tag in RAW:
             if page[pos - 2 : pos] != "/>" or tag in ("script", "style"):
                 end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, pos)
+                if tag == "xmp":  # shown as it stands
+                    flush()
+                    parts.append(html.escape(page[pos : end.start() if end else len(page)]))
+                    flush()
                 pos = _tag_end(page, end.end(), hopeless) if end else len(page)
             parts.append(" ")
             continue
@@ -147,7 +162,7 @@ def blocks(page: str | None) -> list[Block]:
         ended = page[pos - 2 : pos] == "/>" and (tag in _FOREIGN or any(opened.get(t) for t in _FOREIGN))
         if tag not in VOID and not ended:
             names = tuple(t.lower() for found in _NAMED.findall(page[m.end() : pos]) for v in found if v for t in _TOKEN.findall(v))
-            stack.append(Node(tag, names[:8]))
+            stack.append(Node(tag, names, stack[-1] if stack else None))
             opened[tag] = opened.get(tag, 0) + 1
             links += tag == "a"
     flush()

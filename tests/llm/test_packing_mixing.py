@@ -67,6 +67,23 @@ def test_both_tokenizers_agree(text):
     assert packing.token_ids(text).tolist() == packing.reference_ids(text)
 
 
+@pytest.mark.parametrize("n", [1000, 10**5, 10**6, 10**7])
+@pytest.mark.parametrize("space", [" ", "\n"])
+def test_long_white_space(n, space):
+    text = "a" + space * n + "b"
+    ids = packing.token_ids(text).tolist()
+    assert ids[-1] == packing.END_ID and ids == packing.reference_ids(text)
+
+
+def test_queries_bear_long_white_space(spark, tmp_path):
+    rows = [(1, "x" + " " * 1_000_000 + "y", None, "a", None, None, None), (2, "\n" * 1_000_000, None, "a", None, None, None)]
+    documents(spark, tmp_path, rows)
+    table(spark, tmp_path, "labels", [], "doc_id long, quality int, toxic int")
+    assert check_packing(packing.op7_packing(spark, str(tmp_path)).collect(), [r[:2] for r in rows]) < 0.01
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).count() >= 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 100), st.integers(1, 1), st.integers(0, 100)), max_size=60))
 def test_vector_packing_keeps_all_limits(items):

@@ -1,7 +1,7 @@
 """Quality classifier: Naive Bayes support vectors over n-gram indicators (the model is in nbsvm).
 
-Scale. The model is fitted on the driver from at most SAMPLE labelled rows (whole texts, reduced to indicator numbers
-on the executors; the driver gets about SAMPLE x 4 KB). Scoring reads each text once, without a shuffle; the model's two
+Scale. The model is fitted on the driver from at most SAMPLE labelled rows, and at most SAMPLE_BYTES of indicators of theirs (whole texts, reduced
+to indicator numbers on the executors; the driver gets about SAMPLE x 4 KB, and of very long texts fewer). Scoring reads each text once, without a shuffle; the model's two
 tables of BUCKETS doubles (4 MB) are broadcast.
 
 Defined cases. Null and empty texts have no indicator: their score is that of the bias alone. Null doc_ids are scored and count as
@@ -20,15 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import nbsvm
-from .common import read_table
+from .common import cut, read_table
 from .labelled import held_out, sampled
 
-#: Labelled rows to fit on, at most.
-SAMPLE = 6000
+#: Labelled rows to fit on, at most, and bytes of their indicators.
+SAMPLE, SAMPLE_BYTES = 6000, 128 << 20
 THRESHOLD = 0.3
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> nbsvm.Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> nbsvm.Model:
     """Fitted on rows that aren't held out; the same for the same rows, whatever their order."""
 
     def tasks(batches: Iterator[pa.RecordBatch]):
@@ -37,7 +37,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> nbsvm.Mod
             grams = [indicators(t).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary()), b.column(2)], names=["doc_id", "grams", "label"])
 
-    rows = sampled(docs, labels, sample).select("doc_id", "text", "label").mapInArrow(tasks, "doc_id long, grams binary, label int").collect()  # bounded by sample
+    made = cut(sampled(docs, labels, sample).select("doc_id", "text", "label").mapInArrow(tasks, "doc_id long, grams binary, label int"), "indicators")
+    order = F.xxhash64("doc_id")
+    sizes = sorted(made.select(order, F.octet_length("grams")).collect())  # bounded by sample
+    if (fit := int(np.searchsorted(np.cumsum([n for _, n in sizes]), sample_bytes, "right"))) < len(sizes):
+        made = made.where(order < sizes[fit][0])
+    rows = made.collect()  # bounded by sample_bytes
     rows.sort(key=lambda r: r["doc_id"])
     return nbsvm.fit([np.frombuffer(r["grams"], np.int32) for r in rows], np.array([r["label"] for r in rows], int))
 

@@ -9,7 +9,7 @@ source so differ from its target by less than one document.
 
 Scale. Only doc_id, source and size are shuffled, once, into buckets by hash of all three, so a source that holds a third
 of the rows is spread over all buckets, and so are rows without a doc_id; a task streams its sorted bucket and holds one open fraction per source. The tree's
-next levels hold one row per bucket and source. The table of sources (not of documents) goes through the driver.
+next levels hold one row per bucket and source. The table of sources (not of documents) goes through the driver: more than MAX_SOURCES are an error.
 
 Reruns agree: bucket numbers depend on the number of rows, order on the rows themselves, and random numbers on the
 seed, tree level and bucket; partitions and executors play no part.
@@ -34,6 +34,8 @@ from .common import WORD, cut, read_table, text_or_empty
 BUCKET_ROWS, FAN_IN = 50_000, 64
 #: Weights by order of source, repeating; most copies of a document.
 WEIGHTS, MAX_COPIES, SEED = (5, 2, 1), 3, 20_240_601
+#: Sources at most: their names and sizes pass through the driver.
+MAX_SOURCES = 1_000_000
 
 _ROW = "doc_id long, source string, size long, source_size long, target double, copies long, p double, node long"
 _ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for n, t in (x.split() for x in _ROW.split(", "))])
@@ -121,7 +123,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: in
     """One row per row of docs: key, source, size, source_size, target and copies (a whole number up to max_copies)."""
     spark = docs.sparkSession
     sized = cut(docs.select(F.col(key).alias("doc_id"), "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size")), "sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")).collect()  # one row per source
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     n = sum(r["rows"] for r in totals)
     targets = water_fill([r["source_size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], max_copies)

@@ -8,7 +8,8 @@ protocol discards what lost tasks began.
 Salvage reader. An archive is read from front to back. A member or an uncompressed record that fails a check (gzip checksum, version
 line, header block, Content-Length, record end, payload digest) isn't trusted: the reader searches for the next gzip member or
 version line after its start that leads to a valid record, goes on there, and logs the bytes between as a quarantined gap. A member
-that is sound itself but holds a broken record gives its other records, and its bytes are logged. Records of all types come
+that is sound itself but holds a broken record gives its other records, and so does one that breaks off or fails its checksum, as far as it can be
+inflated (its records' length is told as 0); its bytes are logged. A header block that holds a version line is torn. Records of all types come
 back; those other than responses have their block as payload (revisits none). Digests are checked where they are SHA-1; a transfer
 encoding is kept as it was stored, and no payload digest is checked there.
 
@@ -45,6 +46,7 @@ _VERSION = b"WARC/1.1\r\n"
 #: The date of records whose writer names none.
 _NO_DATE = "1970-01-01T00:00:00Z"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_NEXT_LINE = re.compile(rb"\r\nWARC/1\.[01]\r\n")
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|" + _VERSION_LINE.pattern)
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 _FEED = 1 << 16
@@ -96,25 +98,57 @@ class Record:
     payload: bytes | None
 
 
-def _inflated(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """The member that starts there, and its end; None if it is broken."""
+def _inflated(data: memoryview, at: int) -> tuple[bytes, int | None]:
+    """What the member that starts there holds, and its end; where it breaks off or fails its checksum, what came out until then, and no end."""
     d, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not d.eof:
-            if pos >= len(data):
-                return None
+    while not d.eof:
+        if pos >= len(data):
+            return b"".join(out), None
+        before = d.copy()
+        try:
             out.append(d.decompress(data[pos : pos + _FEED]))
-            pos += _FEED
-    except zlib.error:
-        return None
+        except zlib.error:
+            return b"".join([*out, *_sipped(before, data[pos : pos + _FEED])]), None
+        pos += _FEED
     return b"".join(out), min(pos, len(data)) - len(d.unused_data)
 
 
-def _parsed(data: bytes, at: int) -> Record | None:
+def _sipped(d, data: memoryview) -> Iterator[bytes]:
+    """What comes out before the broken place, to the byte."""
+    for size in (64, 1):
+        while len(data):
+            before = d.copy()
+            try:
+                yield d.decompress(data[:size])
+            except zlib.error:
+                d = before
+                break
+            data = data[size:]
+
+
+class _Marks:
+    """Where an archive's next version line and next end of a header block are. Asked at rising places, it reads the archive once, however many
+    torn heads there are."""
+
+    def __init__(self, data: bytes):
+        self.data, self.line, self.end = data, -1, -1
+
+    def head_end(self, at: int) -> int:
+        """The end of the header block that starts there; -1 if there is none before the next record."""
+        if self.end < at and self.end != len(self.data):
+            found = self.data.find(b"\r\n\r\n", at)
+            self.end = len(self.data) if found < 0 else found
+        if self.line <= at and self.line != len(self.data):
+            m = _NEXT_LINE.search(self.data, at + 8)
+            self.line = m.start() + 2 if m else len(self.data)
+        return self.end if self.end < min(self.line, len(self.data)) else -1
+
+
+def _parsed(data: bytes, at: int, marks: _Marks) -> Record | None:
     """The uncompressed record that starts there, if all checks hold."""
     if data[at : at + 10] not in (b"WARC/1.0\r\n", b"WARC/1.1\r\n"):
         return None
-    end = data.find(b"\r\n\r\n", at)
+    end = marks.head_end(at)
     if end < 0:
         return None
     head = _fields(data[at + 10 : end])
@@ -123,8 +157,10 @@ def _parsed(data: bytes, at: int) -> Record | None:
     if not (size.isascii() and size.isdigit()) or not kind:
         return None
     n = int(size)
+    if end + 8 + n > len(data) or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+        return None
     block = data[end + 4 : end + 4 + n]
-    if len(block) < n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n" or not _agrees(head.get("warc-block-digest"), block):
+    if not _agrees(head.get("warc-block-digest"), block):
         return None
     digest, payload = head.get("warc-payload-digest"), block
     if "application/http" in head.get("content-type", ""):
@@ -162,29 +198,35 @@ def _agrees(digest: str | None, data: bytes) -> bool:
     return value.lower() == hashlib.sha1(data).hexdigest() if len(value) == 40 else value.upper() == digest32(data)
 
 
-def _at(data: bytes, view: memoryview, at: int) -> tuple[list[Record], int, bool] | None:
-    """The records of the member or the record that starts there, its end, and whether it is sound; None if nothing of it is."""
+def _at(data: bytes, view: memoryview, at: int, marks: _Marks) -> tuple[list[Record], int | None, bool] | None:
+    """The records of the member or the record that starts there, its end (none if it is a broken member), and whether it is sound;
+    None if nothing of it is."""
     if view[at : at + 2] == b"\x1f\x8b":
-        if (found := _inflated(view, at)) is None:
-            return None
-        inner, end = found
+        inner, end = _inflated(view, at)
         records, gaps = salvage(inner, members=False)
-        if gaps and not records:
+        if not records and (gaps or end is None):
             return None
         for r in records:
-            r.offset, r.length = at, end - at
-        return records, end, not gaps
-    r = _parsed(data, at)
+            r.offset, r.length = at, (len(data) if end is None else end) - at
+        return records, end, not gaps and end is not None
+    r = _parsed(data, at, marks)
     return None if r is None else ([r], at + r.length, True)
 
 
 def salvage(data: bytes, members: bool = True) -> tuple[list[Record], list[tuple[int, int]]]:
     """The valid records of an archive, in order, and the quarantined gaps as (offset, length). Without members: of plain records alone."""
-    view, at, records, gaps = memoryview(data), 0, [], []
+    view, at, records, gaps, marks = memoryview(data), 0, [], [], _Marks(data)
     pattern = _CANDIDATE if members else _VERSION_LINE
 
     def found_at(at: int) -> tuple[list[Record], int, bool] | None:
-        return _at(data, view, at) if members else ([r], at + r.length, True) if (r := _parsed(data, at)) is not None else None
+        if not members:
+            return ([r], at + r.length, True) if (r := _parsed(data, at, marks)) is not None else None
+        if (found := _at(data, view, at, marks)) is None or found[1] is not None:
+            return found
+        for r in found[0]:  # of a broken member, whose end is unknown
+            r.length = 0
+        records.extend(found[0])
+        return None
 
     found = found_at(0) if data else None
     while at < len(data):

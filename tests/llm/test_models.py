@@ -56,6 +56,50 @@ def test_dual_descent_separates():
     assert all((m.score(x) > 0.5) == bool(label) for x, label in zip(rows, y))
 
 
+def plain_score(model, text):
+    """The score of a text from a model's tables, gram by gram."""
+    data, found, mask = (text or "").encode(), set(), (1 << 64) - 1
+    bucket = lambda v: (v * 0x9E3779B97F4A7C15 & mask) >> (64 - 18)
+    for n in (1, 2, 3):
+        for i in range(len(data) - n + 1):
+            found.add(bucket(int.from_bytes(bytes([n]) + data[i : i + n], "big")))
+    words = data.split()
+    back = [next((k for k in range(1, min(i, 31) + 1) if words[i - k] == w), 0) for i, w in enumerate(words)]
+    for i in range(len(back) - 3):
+        found.add(bucket((1 << 40) + sum(back[i + j] << 5 * j for j in range(4))))
+    r = [float(model.ratio[x]) for x in found]
+    length = max(sum(x * x for x in r) ** 0.5, 1e-12)
+    margin = sum(float(model.weight[x]) * float(model.ratio[x]) for x in found) / length + model.bias
+    return 1 / (1 + np.exp(-(model.a * margin + model.b)))
+
+
+def test_scores_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = classifier.op4_classifier(spark, sf_dir).collect()
+    assert len(rows) == len(texts) and all(abs(r["score"] - plain_score(model, texts[r["doc_id"]])) < 1e-6 for r in rows)
+
+
+def test_the_sample_is_bounded_in_bytes(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    few = classifier.train(docs, labels, sample_bytes=20_000)
+    assert (few.weight != 0).sum() < (classifier.train(docs, labels).weight != 0).sum()
+    assert classifier.train(docs, labels, sample_bytes=0).bias == 0
+
+
+def test_verdicts_by_brute_force(spark, oracle_dir):
+    docs, labels = (spark.read.parquet(f"{oracle_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.train(docs, labels)
+    want = {}
+    for r in docs.collect():
+        n = dict(zip(quality_rules.COUNTS, quality_rules.counts(r["text"])))
+        share = {k: n[of] / max(n[over], 1) for k, (over, of) in quality_rules.FEATURES.items()}
+        low = any(all(share[c.feature] > c.cut if c.above else share[c.feature] <= c.cut for c in rule) for rule in rules)
+        want[r["doc_id"]] = not base(r["text"]) and not low
+    assert rules and {r["doc_id"]: r["kept"] for r in quality_rules.op9_quality_rules(spark, oracle_dir).collect()} == want
+
+
 def test_indicators_are_distinct_ngrams():
     ind = nbsvm.Indicators()
     assert len(ind("")) == len(ind(None)) == 0

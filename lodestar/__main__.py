@@ -39,6 +39,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--timeout", type=float, default=30)
     p.add_argument("--explain", action="store_true", help="print the plans")
     p.add_argument("--no-run", action="store_true")
+    p.add_argument("--safe", action="store_true", help="run each query in a process of its own")
     p.add_argument("--no-result", action="store_true", help="don't print rows")
     p.add_argument("--compare", help="folder of a Parquet result (a folder a query) to check against")
     p.add_argument("--result", help="folder to write result lines to, a folder a query")
@@ -47,6 +48,10 @@ def main(args: list[str] | None = None) -> int:
     names = sorted(catalogue.QUERIES) if a.queries == "all" else a.queries.split(",")
     if unknown := [n for n in names if n not in catalogue.QUERIES]:
         p.error(f"no query {', '.join(unknown)}")
+    if a.safe:
+        found = [harness.isolated(n, a.data, int(t), a.timeout) for t in a.threads.split(",") for n in names]
+        print(harness.report(found))
+        return int(any(r.status not in (harness.OKAY, harness.UNCHECKED) for r in found))
     wanted = list(profiles.BASE) if a.profiles == "all" else [profiles.BY_NAME[n] for n in a.profiles.split(",")]
     runs: list[harness.Run] = []
     for threads in map(int, a.threads.split(",")):

@@ -86,6 +86,21 @@ def truncated(column: Column, digits: int) -> Column:
     return divide_scaled(column, F.lit(10**digits))
 
 
+def hash_of(column: Column) -> Column:
+    """A 64-bit hash of a value."""
+    return F.xxhash64(column)
+
+
+def rehash(hashed: Column, column: Column) -> Column:
+    """The hash of several values: that of those before, and one more."""
+    return F.xxhash64(hashed, column)
+
+
+def sequence() -> Column:
+    """Distinct numbers of rows, rising within a partition; not consecutive."""
+    return F.monotonically_increasing_id()
+
+
 def raw_text(column: Column, kind: str, scale: int = 0) -> Column:
     """A value as plain result lines show it: money in smallest units, dates as Julian days, single characters as codes."""
     if kind == "money":

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.exprs import and_all
@@ -34,21 +34,51 @@ def select(df: DataFrame, *conditions: Column) -> DataFrame:
     return df.where(and_all(*conditions))
 
 
-def hash_aggr(df: DataFrame, keys: Sequence[str | Column], aggregates: Mapping[str, Column] | None = None) -> DataFrame:
-    """Keys, then aggregates; without aggregates the distinct keys."""
+#: Aggregates by name, and how many arguments each takes.
+AGGREGATES = {"sum": (F.sum, 1), "count": (lambda: F.count(F.lit(1)), 0), "min": (F.min, 1), "max": (F.max, 1), "product": (F.product, 1), "const1": (lambda: F.max(F.lit(1)), 0)}
+#: Folds whose result depends on the order of the rows, which a distributed group hasn't.
+ORDERED = ("minus", "divides", "modulus")
+
+Aggregate = Column | tuple
+
+
+def aggregate(kind: str, *arguments: str | Column) -> Column:
+    """An aggregate by its name. Unknown names, and more or fewer arguments than it takes, are errors."""
+    if kind in ORDERED:
+        raise ValueError(f"{kind} over a group depends on the order of its rows")
+    if kind not in AGGREGATES:
+        raise ValueError(f"no aggregate {kind!r}; there are {', '.join(AGGREGATES)}")
+    make, takes = AGGREGATES[kind]
+    if len(arguments) != takes:
+        raise ValueError(f"{kind} takes {takes} argument(s), not {len(arguments)}")
+    return make(*arguments)
+
+
+def _named(aggregates: Mapping[str, Aggregate]) -> list[Column]:
+    return [(aggregate(*c) if isinstance(c, tuple) else c).alias(n) for n, c in aggregates.items()]
+
+
+def hash_aggr(df: DataFrame, keys: Sequence[str | Column], aggregates: Mapping[str, Aggregate] | None = None) -> DataFrame:
+    """Keys, then aggregates (columns, or names with their arguments); without aggregates the distinct keys."""
     if not aggregates:
         return df.select(*keys).distinct()
-    return df.groupBy(*keys).agg(*(c.alias(n) for n, c in aggregates.items()))
+    return df.groupBy(*keys).agg(*_named(aggregates))
 
 
-def global_aggr(df: DataFrame, aggregates: Mapping[str, Column], empty_row: bool = False) -> DataFrame:
+def global_aggr(df: DataFrame, aggregates: Mapping[str, Aggregate], empty_row: bool = False) -> DataFrame:
     """One group. Over empty input there is no row, unless empty_row."""
     if empty_row:
-        return df.agg(*(c.alias(n) for n, c in aggregates.items()))
-    out = df.agg(F.count(F.lit(1)).alias("__rows"), *(c.alias(n) for n, c in aggregates.items()))
+        return df.agg(*_named(aggregates))
+    out = df.agg(F.count(F.lit(1)).alias("__rows"), *_named(aggregates))
     return out.where("__rows > 0").drop("__rows")
 
 
+def tap(df: DataFrame, name: str, **metrics: Aggregate) -> tuple[DataFrame, Observation]:
+    """The same rows, and what is counted as they stream by (rows, and further aggregates): known once an action has run."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *_named(metrics)), seen
+
+
 def _on(probe: DataFrame, build: DataFrame, probe_keys: Sequence[str], build_keys: Sequence[str]) -> Column:
     if len(probe_keys) != len(build_keys) or not probe_keys:
         raise ValueError("as many probe keys as build keys are needed, at least one")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+import signal
+import subprocess
+import sys
 import threading
 import time
 import uuid
@@ -84,6 +89,22 @@ def run(
     return out
 
 
+def isolated(query: str, folder: str, threads: int = 8, timeout: float = 120, command: tuple[str, ...] = (sys.executable, "-m", "lodestar")) -> Run:
+    """A query of the catalogue in a process of its own, which may crash or hang without harm to this one."""
+    args = [*command, "--data", folder, "--queries", query, "--threads", str(threads), "--hot-runs", "1", "--no-result", "--timeout", str(timeout)]
+    root, began = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), time.perf_counter()
+    child = subprocess.Popen(args, cwd=root, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True, start_new_session=True)
+    try:
+        said, _ = child.communicate(timeout=timeout)
+        told = re.findall(rf"\| {re.escape(query)} \|[^|]*\|[^|]*\| (\w+) \|", said)
+        status = told[-1] if told else OOM if "OutOfMemoryError" in said else CRASH if child.returncode else EXCEPT
+    except subprocess.TimeoutExpired:
+        os.killpg(child.pid, signal.SIGKILL)  # its JVM too
+        child.communicate()
+        status = TIMEOUT
+    return Run(query, "isolated", threads, 0, status, time.perf_counter() - began)
+
+
 def input_rows(catalog: Catalog, tables: Iterable[str]) -> int:
     return sum(catalog[t].count() for t in tables)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.exprs import contains, contains_in_order, divide_scaled, exact_sum, from_julian_day, julian_day, one_of, raw_text, scaled, truncated, unscaled, year
-from ..operators.relational import global_aggr, hash_aggr, hash_join, project, scan, select, semi_join
-from ..sources.files import Catalog, result_lines
+from ..functions.exprs import contains, contains_in_order, divide_scaled, exact_sum, from_julian_day, hash_of, julian_day, one_of, raw_text, rehash, scaled, sequence, truncated, unscaled, year
+from ..operators.relational import global_aggr, hash_aggr, hash_join, project, scan, select, semi_join, tap
+from ..sources.files import Catalog, cached, read_tbl, result_lines, write_tbl
 
 
 def scan_project(t: Catalog) -> DataFrame:
@@ -95,8 +98,60 @@ def result_text(t: Catalog) -> DataFrame:
     return result_lines(rows, [raw_text(F.col("l_orderkey"), "whole"), raw_text(F.col("l_returnflag"), "char"), raw_text(F.col("l_shipdate"), "date"), raw_text(F.col("l_extendedprice"), "money", 2)])
 
 
+def not_(t: Catalog) -> DataFrame:
+    """Parts that aren't small, of a brand that isn't the first: negated conditions, alone and of a conjunction."""
+    parts = scan(t["part"], ["p_partkey", "p_brand", "p_size"])
+    return select(parts, ~(F.col("p_size") < 10), ~((F.col("p_brand") == "Brand#1") & (F.col("p_size") > 20))).withColumn("minus", -F.col("p_size"))
+
+
+def agg_named(t: Catalog) -> DataFrame:
+    """Aggregates by their names."""
+    orders = scan(t["orders"], ["o_orderstatus", "o_orderkey"])
+    return hash_aggr(orders, ["o_orderstatus"], {"n": ("count",), "least": ("min", "o_orderkey"), "most": ("max", "o_orderkey"), "total": ("sum", "o_orderkey"), "one": ("const1",)})
+
+
+def tapped(t: Catalog) -> DataFrame:
+    """Rows that are counted as they stream by."""
+    return tap(scan(t["nation"], ["n_nationkey", "n_name"]), "nations", last=("max", "n_nationkey"))[0]
+
+
+_ORDERS = "o_orderkey bigint, o_orderstatus string, o_totalprice decimal(12,2), o_orderdate timestamp_ntz"
+
+
+def tbl_round_trip(t: Catalog) -> DataFrame:
+    """Orders, written as text and read again."""
+    path = f"{t.session_folder()}/orders-{uuid.uuid4().hex}.tbl"
+    write_tbl(t["orders"].selectExpr("o_orderkey", "o_orderstatus", "cast(o_totalprice as decimal(12,2))", "o_orderdate"), path)
+    return read_tbl(t.spark, path, StructType.fromDDL(_ORDERS))
+
+
+def column_cache(t: Catalog) -> DataFrame:
+    """Parts by way of the column cache."""
+    return scan(cached(t.spark, f"{t.session_folder()}/part", lambda: t["part"]), ["p_partkey", "p_brand", "p_size"])
+
+
+def hash_rehash(t: Catalog) -> DataFrame:
+    """Groups by a hash of two keys: as many as there are pairs."""
+    orders = scan(t["orders"], ["o_custkey", "o_orderstatus"])
+    groups = hash_aggr(orders, [rehash(hash_of(F.col("o_custkey")), F.col("o_orderstatus")).alias("h")], {"n": ("count",)})
+    return global_aggr(groups, {"pairs": ("count",), "largest": ("max", "n")})
+
+
+def numbered(t: Catalog) -> DataFrame:
+    """Rows by number: as many numbers as rows, none below 0."""
+    rows = scan(t["customer"], ["c_custkey"]).withColumn("number", sequence())
+    return global_aggr(rows, {"rows": ("count",), "numbers": F.count_distinct("number"), "negative": F.count_if(F.col("number") < 0)})
+
+
 #: name: (query over a catalog, SQL)
 CATALOGUE = {
+    "one_not": (not_, "select p_partkey, p_brand, p_size, -p_size minus from part where not (p_size < 10) and not (p_brand = 'Brand#1' and p_size > 20)"),
+    "one_agg_named": (agg_named, "select o_orderstatus, count(*) n, min(o_orderkey) least, max(o_orderkey) most, cast(sum(o_orderkey) as bigint) total, 1 one from orders group by 1"),
+    "one_tap": (tapped, "select n_nationkey, n_name from nation"),
+    "one_tbl_round_trip": (tbl_round_trip, "select o_orderkey, o_orderstatus, cast(o_totalprice as decimal(12,2)) o_totalprice, o_orderdate from orders"),
+    "one_column_cache": (column_cache, "select p_partkey, p_brand, p_size from part"),
+    "one_hash_rehash": (hash_rehash, "select count(*) pairs, max(n) largest from (select count(*) n from orders group by o_custkey, o_orderstatus)"),
+    "one_sequence": (numbered, "select count(*) \"rows\", count(*) numbers, cast(0 as bigint) negative from customer"),
     "one_scan_project": (scan_project, "select p_partkey, p_size * 2 twice, p_size * 3 thrice from part"),
     "one_filter_or_values": (filter_or_values, "select p_partkey, p_brand, p_size from part where p_brand in ('Brand#3', 'Brand#5') and (p_size < 10 or p_size < 20)"),
     "one_contains": (contains_, "select p_partkey, p_name, case when p_name like '%b%t%' then 1 else 0 end \"then\" from part where contains(p_name, 'blue')"),

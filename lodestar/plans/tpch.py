@@ -130,11 +130,10 @@ def q6_row(t: Catalog, of_year: int = 1994) -> DataFrame:
 
 
 def _q9_parts(t: Catalog, needle: str, until_part: int | None) -> DataFrame:
-    parts = select(scan(t["part"], ["p_partkey", "p_name"]), contains(F.col("p_name"), needle))
-    sold = partsupp(t)
+    parts = select(scan(t["part"], ["p_partkey", "p_name", "p_retailprice"]), contains(F.col("p_name"), needle))
     if until_part is not None:
-        parts, sold = select(parts, F.col("p_partkey") <= until_part), select(sold, F.col("ps_partkey") <= until_part)
-    return hash_join(sold, ["ps_partkey"], parts, ["p_partkey"])
+        parts = select(parts, F.col("p_partkey") <= until_part)
+    return project(partsupp(t, parts), "ps_partkey", "ps_suppkey", "ps_cost", ("p_partkey", F.col("ps_partkey")))
 
 
 def _q9_suppliers(t: Catalog, until_nation: int | None = None, until_supplier: int | None = None) -> DataFrame:

@@ -7,17 +7,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import scaled
-from .files import Catalog
+from ..functions.exprs import day, scaled
+from .files import Catalog, cached
 
 _MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
-def partsupp(t: Catalog) -> DataFrame:
-    """One row for each (part, supplier) that was sold; cost in hundredths: 0.6 of the retail price, half rounded up."""
-    pairs = t["lineitem"].select("l_partkey", "l_suppkey").distinct()
-    price = t["part"].select("p_partkey", _cost().alias("ps_cost"))
-    return pairs.join(price, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"), "ps_cost")
+def partsupp(t: Catalog, parts: DataFrame | None = None) -> DataFrame:
+    """One row for each (part, supplier) that was sold; cost in hundredths: 0.6 of the retail price, half rounded up.
+
+    parts: those to take. Lines of others are dropped before the pairs are made distinct, so only pairs that are asked for are shuffled."""
+    price = (t["part"] if parts is None else parts).select("p_partkey", _cost().alias("ps_cost"))
+    sold = t["lineitem"].select("l_partkey", "l_suppkey").join(price, F.col("l_partkey") == F.col("p_partkey"))
+    return sold.select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"), "ps_cost").distinct()
 
 
 def _cost():
@@ -26,8 +28,14 @@ def _cost():
     return F.floor((tenths + 50) / 100).cast("long")
 
 
+#: Years of the date dimension.
+YEARS = (1970, 2070)
+
+
 def ssb_date(t: Catalog) -> DataFrame:
-    d = t["orders"].select(F.col("o_orderdate").cast("date").alias("d_date")).distinct()
+    """A calendar, which holds every order's date: it is made, not read, and small for any number of orders."""
+    first, last = (F.lit(f"{y}-01-01").cast("date") for y in YEARS)
+    d = t.spark.range(1).select(F.explode(F.sequence(first, F.date_sub(last, 1), F.expr("interval 1 day"))).alias("d_date"))
     y, m = F.year("d_date").cast("long"), F.month("d_date")
     return d.select(
         "d_date",
@@ -75,8 +83,18 @@ def ssb_customer(t: Catalog) -> DataFrame:
     return _placed(t, "customer", "c", "c_custkey")
 
 
-def ssb_lineorder(t: Catalog) -> DataFrame:
-    """Without the supply cost, which comes with the part; money and discount (a whole percentage) in hundredths, the revenue's cut half up."""
+def ssb_lineorder(t: Catalog, span: tuple[str, str] | None = None) -> DataFrame:
+    """Without the supply cost, which comes with the part; money and discount (a whole percentage) in hundredths, the revenue's cut half up.
+
+    It is derived once for a session and folder, and read from then on. span: only orders from the first day on and before the second; its files
+    are ordered by date, so most of them are skipped."""
+    made = cached(t.spark, f"{t.session_folder()}/lineorder", lambda: _lineorder(t).repartitionByRange(F.col("o_orderdate")).sortWithinPartitions("o_orderdate"))
+    if span is not None:
+        made = made.where((F.col("o_orderdate") >= day(span[0])) & (F.col("o_orderdate") < day(span[1])))
+    return made.drop("o_orderdate")
+
+
+def _lineorder(t: Catalog) -> DataFrame:
     lines = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
     orders = t["orders"].select("o_orderkey", "o_custkey", "o_orderdate")
     price, off = scaled(F.col("l_extendedprice")), scaled(F.col("l_discount"))
@@ -90,6 +108,7 @@ def ssb_lineorder(t: Catalog) -> DataFrame:
         price.alias("lo_extendedprice"),
         (off * 100).alias("lo_discount"),
         F.floor((price * (100 - off) + 50) / 100).cast("long").alias("lo_revenue"),
+        "o_orderdate",
     )
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import re
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -23,12 +29,36 @@ class Catalog:
             self._found[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._found[name]
 
+    def session_folder(self) -> str:
+        """Where what is derived from this folder's tables, as they are now, lies for the session: in the folder that all executors share."""
+        jvm, spark = self.spark.sparkContext._jvm, self.spark
+        at = jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+        state = f"{self.folder} {sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files)}"
+        return f"{shared_folder(spark)}/lodestar-{spark.sparkContext.applicationId}-{hashlib.sha1(state.encode()).hexdigest()[:16]}"
+
     def register(self) -> None:
         """Temporary views, for SQL."""
         for name in self.names:
             self[name].createOrReplaceTempView(name)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; a local session without one gets a temporary folder."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    name = spark.sparkContext.applicationId
+    if name not in _local:
+        _local[name] = tempfile.mkdtemp(prefix="lodestar-")
+        atexit.register(shutil.rmtree, _local[name], ignore_errors=True)
+    return f"file://{_local[name]}"
+
+
+_local: dict[str, str] = {}
+
+
 def read_tbl(spark: SparkSession, path: str, schema: StructType, char_columns: tuple[str, ...] = ()) -> DataFrame:
     """`|`-separated text, a row a line; what follows the last separator is ignored. Leading spaces are stripped from char_columns
     only. A value that doesn't fit its type, or money with more digits than its scale, is an error."""

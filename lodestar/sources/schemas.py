@@ -28,13 +28,13 @@ TPCH = {
 SSB = {
     "lineorder": _schema(
         f"lo_orderkey int, lo_linenumber int, lo_custkey int, lo_partkey int, lo_suppkey int, lo_orderdate int, lo_orderpriority string, lo_shippriority string, "
-        f"lo_quantity int, lo_extendedprice {_W}, lo_ordtotalprice {_W}, lo_discount {_W}, lo_revenue {_W}, lo_supplycost {_W}, lo_tax int, lo_commitdate int, lo_shopmode string"
+        f"lo_quantity int, lo_extendedprice {_W}, lo_ordtotalprice {_W}, lo_discount {_W}, lo_revenue {_W}, lo_supplycost {_W}, lo_tax int, lo_commitdate int, lo_shipmode string"
     ),
     "part": _schema("p_partkey int, p_name string, p_mfgr string, p_category string, p_brand1 string, p_color string, p_type string, p_size int, p_container string"),
     "supplier": _schema("s_suppkey int, s_name string, s_address string, s_city string, s_nation string, s_region string, s_phone string"),
     "customer": _schema("c_custkey int, c_name string, c_address string, c_city string, c_nation string, c_region string, c_phone string, c_mktsegment string"),
     "date": _schema(
         "d_datekey int, d_date string, d_dayofweek string, d_month string, d_year int, d_yearmonthnum int, d_yearmonth string, d_daynuminweek int, d_daynuminmonth int, "
-        "d_daynuminyear int, d_monthnuminyear int, d_weeknuminyear int, d_sellingseasin string, d_lastdayinweekfl int, d_lastdayinmonthfl int, d_holidayfl int, d_weekdayfl int"
+        "d_daynuminyear int, d_monthnuminyear int, d_weeknuminyear int, d_sellingseason string, d_lastdayinweekfl int, d_lastdayinmonthfl int, d_holidayfl int, d_weekdayfl int"
     ),
 }

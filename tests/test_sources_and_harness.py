@@ -1,7 +1,9 @@
 import decimal
+import sys
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestar.__main__ import main
 from lodestar.plans import catalogue, harness, profiles
@@ -87,6 +89,44 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "LessThan(l_quantity" in plan and "GreaterThanOrEqual(l_shipdate" in plan and "l_tax" not in plan
 
 
+def _plan(spark, sf_dir, name):
+    return catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_are_filtered_before_pairs_are_made_distinct(spark, sf_dir):
+    lines = _plan(spark, sf_dir, "q9").splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    i = next(i for i, x in enumerate(lines) if "Aggregate [l_partkey" in x or "Aggregate [ps_partkey" in x)
+    below = []
+    for x in lines[i + 1 :]:
+        if depth(x) <= depth(lines[i]):
+            break
+        below.append(x)
+    assert any("Contains(p_name" in x for x in below) and any("Join Inner" in x for x in below)
+    assert sum("Contains(p_name" in x for x in lines) == 1
+
+
+@pytest.mark.parametrize("name", ["ssb_q11", "ssb_q12", "ssb_q13", "ssb_q34", "ssb_q42"])
+def test_the_star_is_read_with_a_range_of_dates(spark, sf_dir, name):
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan  # lines and orders aren't joined again
+
+
+def test_a_query_in_its_own_process(sf_dir):
+    assert harness.isolated("s1", sf_dir, 2).status == harness.UNCHECKED
+    crash = (sys.executable, "-c", "import os; os.abort()")
+    assert harness.isolated("s1", sf_dir, 2, command=crash).status == harness.CRASH
+    hang = (sys.executable, "-c", "import time; time.sleep(60)")
+    assert harness.isolated("s1", sf_dir, 2, timeout=1, command=hang).status == harness.TIMEOUT
+
+
+def test_timestamps_in_text(spark, tmp_path):
+    (tmp_path / "t.tbl").write_text("1|1996-02-29 12:30:01|\n2|1996-02-29|\n")
+    rows = files.read_tbl(spark, str(tmp_path / "t.tbl"), StructType.fromDDL("k int, at timestamp_ntz")).orderBy("k").collect()
+    assert [str(r["at"]) for r in rows] == ["1996-02-29 12:30:01", "1996-02-29 00:00:00"]
+
+
 def test_exploration(spark, sf_dir):
     runs = harness.explore(spark, "s1", lambda: catalogue.QUERIES["s1"](spark, sf_dir), "full", samples=2, repetitions=1)
     assert [r.status for r in runs] == [harness.OKAY] * 2

@@ -1,7 +1,7 @@
 """Quality classifier: Naive Bayes support vectors over n-gram indicators (the model is in nbsvm).
 
-Scale. The model is fitted on the driver from at most SAMPLE labelled rows, and at most SAMPLE_BYTES of indicators of theirs (whole texts, reduced
-to indicator numbers on the executors; the driver gets about SAMPLE x 4 KB, and of very long texts fewer). Scoring reads each text once, without a shuffle; the model's two
+Scale. The model is fitted by one task from at most SAMPLE labelled rows, and at most SAMPLE_BYTES of indicators of theirs (whole texts, reduced
+to indicator numbers; about SAMPLE x 4 KB, and of very long texts fewer rows). Scoring reads each text once, without a shuffle; the model's two
 tables of BUCKETS doubles (4 MB) are broadcast.
 
 Defined cases. Null and empty texts have no indicator: their score is that of the bias alone. Null doc_ids are scored and count as
@@ -11,6 +11,7 @@ smoothed share of label 1. Repeated rows are scored each; an empty table gives a
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +41,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     made = cut(sampled(docs, labels, sample).select("doc_id", "text", "label").mapInArrow(tasks, "doc_id long, grams binary, label int"), "indicators")
     order = F.xxhash64("doc_id")
     sizes = sorted(made.select(order, F.octet_length("grams")).collect())  # bounded by sample
-    if (fit := int(np.searchsorted(np.cumsum([n for _, n in sizes]), sample_bytes, "right"))) < len(sizes):
-        made = made.where(order < sizes[fit][0])
-    rows = made.collect()  # bounded by sample_bytes
-    rows.sort(key=lambda r: r["doc_id"])
-    return nbsvm.fit([np.frombuffer(r["grams"], np.int32) for r in rows], np.array([r["label"] for r in rows], int))
+    if (upto := int(np.searchsorted(np.cumsum([n for _, n in sizes]), sample_bytes, "right"))) < len(sizes):
+        made = made.where(order < sizes[upto][0])
+
+    def fit(batches: Iterator[pa.RecordBatch]):
+        rows = sorted((r["doc_id"], r["grams"], r["label"]) for b in batches for r in b.to_pylist())
+        model = nbsvm.fit([np.frombuffer(g, np.int32) for _, g, _ in rows], np.array([y for *_, y in rows], int))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # one task's, bounded by sample_bytes; without rows there is no task
+    found = made.coalesce(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else nbsvm.fit([], np.empty(0, int))
 
 
 def scorer(spark: SparkSession, model: nbsvm.Model):

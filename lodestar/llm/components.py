@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut, scope
@@ -14,15 +14,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every step only joins vertices with their least neighbour, so a star with a third of all vertices stays a list of
     edges; its centre is a hot join key, which adaptive execution splits. O(log^2 n) steps."""
-    spark = edges.sparkSession
-    with scope(spark) as keep:
-        e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    with scope(edges.sparkSession) as keep:
+        e, now = _told(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
         seen = None
-        while True:
-            now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            if now == seen or not now[0]:
-                keep(e)
-                return e
+        while now != seen and now["n"]:
             seen = now
             both = e.union(e.select("v", "u"))
             least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -30,4 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
             # small star: every u > v is joined to u's least neighbour, and so are its other smaller neighbours
             low = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low).distinct()
-            e = cut(small, "edges")
+            e, now = _told(small)
+        keep(e)
+    return e
+
+
+def _told(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges, written, and their number and a sum of their hashes, which tell whether a step changed anything."""
+    seen = Observation()
+    made = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")), "edges")
+    return made, seen.get

@@ -18,8 +18,7 @@ the set of five-word shingles, and BANDS runs of bits as routes, which two docum
 `bands_miss` states. A run is so long (`band_bits`) that unrelated documents share a shard with few others in any corpus, and shards that are large all
 the same, since they hold copies, are parted by further bits: a shard's search takes time in the square of its rows. Its tree gives each document its
 NEAREST nearest ones within WIDE_RADIUS, later ones too, and the nearest of each group that came before it. The Jaccard similarity of these
-pairs is checked exactly, in rounds: first each document's nearest, then the nearest that isn't in its group by then, at last all that still
-lie in two groups. So few pairs of a large group are ever checked.
+pairs is checked exactly, in rounds: first each document's nearest, then all that still lie in two groups. So few pairs of a large group are ever checked.
 
 Routes, nearest ones and rounds only find most links cheaply; none is lost by them, since the rest is found exactly. Of each set's shingles,
 ordered by how common they are in a sample and by hash, those of the prefix are posted: two sets at least as similar as asked share one there, for any
@@ -43,12 +42,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import cut, prefiltered, read_table, scope
 from .components import components
+from .suffix_dedup import packed, unpacked
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints in a shard before it refines itself.
@@ -350,9 +350,11 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -
 #: deviation of 7 at 0.8; unrelated ones in 192.
 WIDE_WORDS, WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY = 6, 5, 80, 0.8
 #: Wide prints in a shard before it is parted; candidates of a document there, rounds in which all are checked, and rounds of hubs after them.
-WIDE_SHARD_ROWS, NEAREST, ROUNDS, HUB_ROUNDS = 1024, 4, 3, 2
+WIDE_SHARD_ROWS, NEAREST, ROUNDS, HUB_ROUNDS = 1024, 4, 2, 1
 #: Documents among which common shingles are counted (so many, or that share of all), and shingles that are ordered by that.
 SAMPLED, SAMPLED_SHARE, COMMON = 16_000, 1 / 32, 1 << 17
+#: Shingles that a task holds before it passes them on; shared ones that each shingle of a prefix keeps of those before it.
+FLUSH, BEFORE = 1 << 21, 6
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -373,17 +375,30 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     part = docs.select("text").sample(min(1.0, max(SAMPLED_SHARE, SAMPLED / max(1, docs.count()))), SEED)
 
     def tasks(batches: Iterator[pa.RecordBatch]):
+        held, n = [], 0
         for b in batches:
-            hashes = [np.unique(shingle_hashes(t, WIDE_SHINGLE)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *hashes]).view(np.int64))], names=["shingle"])
-
-    counts = part.mapInArrow(tasks, "shingle long").groupBy("shingle").count().where("count > 1")
+            for t in b.column(0).to_pylist():
+                held.append(np.unique(shingle_hashes(t, WIDE_SHINGLE)))
+                n += len(held[-1])
+            if n >= FLUSH:
+                yield _repeated(held)
+                held, n = [], 0
+        if held:
+            yield _repeated(held)
+
+    counts = part.mapInArrow(tasks, "shingle long, count long").groupBy("shingle").agg(F.sum("count").alias("count"))
     found = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
     shingles, n = found.column("shingle").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(shingles)
     return shingles[order], n[order]
 
 
+def _repeated(sets: list[np.ndarray]) -> pa.RecordBatch:
+    """The hashes that occur in several sets, and in how many."""
+    found, n = np.unique(np.concatenate(sets), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["shingle", "count"])
+
+
 def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
     """The first n - ceil(similarity n) + 1 of a set's n sorted hashes, rare ones first: two sets at least this similar share one of theirs."""
     known, counts = common
@@ -411,12 +426,58 @@ def _printed(docs: DataFrame, similarity: float) -> DataFrame:
     return cut(made.select("*", F.monotonically_increasing_id().alias("vertex")), "prints")
 
 
+def _shared(prints: DataFrame) -> DataFrame:
+    """(code): the first 48 bits of shingles that occur in several prefixes. Most occur in one, so only these bits are shuffled, sorted and packed;
+    a bucket holds those of a range."""
+    total = prints.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    bits = max(0, (total // FLUSH).bit_length())
+
+    def rows(codes: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(codes) >> np.uint64(16), return_counts=True)
+        found = np.repeat(found, np.minimum(n, 2))
+        edges = np.searchsorted(found >> np.uint64(48 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        full = np.flatnonzero(edges[1:] > edges[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(full), pa.array([packed([found[edges[i] : edges[i + 1]]], (6,)) for i in full], pa.binary())], names=["bucket", "data"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]):
+        held, n = [], 0
+        for b in batches:
+            held.append(np.asarray(b.column(0).flatten()).view(np.uint64))
+            n += len(held[-1])
+            if n >= FLUSH:
+                yield rows(held)
+                held, n = [], 0
+        if n:
+            yield rows(held)
+
+    def several(batches: Iterator[pa.RecordBatch]):
+        last, blobs = None, []
+
+        def found() -> pa.RecordBatch:
+            codes = np.sort(unpacked(blobs, (6,))[0])
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(codes[1:][codes[1:] == codes[:-1]]).view(np.int64))], names=["code"])
+
+        for b in batches:
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if bucket != last and blobs:
+                    yield found()
+                    blobs = []
+                last = bucket
+                blobs.append(data)
+        if blobs:
+            yield found()
+
+    packs = prints.select("prefix").mapInArrow(dealt, "bucket long, data binary")
+    return cut(packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(several, "code long"), "shared")
+
+
 def _posts(prints: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(vertex, size, at, shingle): the prefixes' shingles that several vertices have."""
-    posts = prints.select("vertex", "size", F.posexplode("prefix").alias("at", "shingle"))
-    shared = posts.groupBy("shingle").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a < b")
-    shared = cut(shared.select("shingle"), "shared")
-    return cut(prefiltered(posts, shared, ["shingle"]).join(shared, "shingle", "left_semi").join(distinct.select("vertex"), "vertex", "left_semi"), "posts")
+    """(vertex, size, at, shingle, before): the prefixes' shingles that several vertices have, and the last BEFORE such ones before each."""
+    posts = prints.select("vertex", "size", F.posexplode("prefix").alias("at", "shingle")).withColumn("code", F.shiftrightunsigned("shingle", 16))
+    shared = _shared(prints)
+    posts = prefiltered(posts, shared, ["code"]).join(shared, "code", "left_semi").drop("code").join(distinct.select("vertex"), "vertex", "left_semi")
+    earlier = Window.partitionBy("vertex").orderBy("at").rowsBetween(-BEFORE, -1)
+    return cut(posts.withColumn("before", F.collect_list("shingle").over(earlier)), "posts")
 
 
 def _live(posts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -435,18 +496,20 @@ def _to_hubs(live: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
     hubs = ends.join(label, "vertex").groupBy("label").agg(F.max(F.struct("count", "vertex")).alias("hub"))
     posted = live.select("shingle", "label").distinct().join(hubs, "label")
     first = posted.groupBy("shingle").agg(F.max(F.struct("hub", "label")).alias("h")).select("shingle", F.col("h.hub.vertex").alias("hub"), F.col("h.label").alias("other"))
-    met = live.join(first, "shingle").where("label <> other")
+    met = live.select("shingle", "label", "vertex").join(first, "shingle").where("label <> other")
     return met.select(F.least("vertex", "hub").alias("u"), F.greatest("vertex", "hub").alias("v")).distinct()
 
 
 def _rest(live: DataFrame, similarity: float) -> DataFrame:
     """(u, v): all pairs of two groups whose first common shingle can be one of theirs: those at a place, in a set of a size, that leaves room
-    for the similarity. What comes before the first common one in either set isn't shared, so at most what comes after is."""
+    for the similarity. What comes before the first common one in either set isn't shared, so at most what comes after is. A shingle that one
+    of those before it in both sets precedes isn't the first, so few pairs are found by more than that."""
     share = F.lit(similarity / (1 + similarity))
-    x, y = (live.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("vertex", "label", "size", "at"))) for k in "xy")
+    x, y = (live.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("vertex", "label", "size", "at", "before"))) for k in "xy")
     y = y.where(F.expr("size_y - at_y") >= share * 2 * F.col("size_y") - F.lit(1e-6))  # of two sets that of fewer, and it must have room beside one as large
     both = x.join(y, "shingle").where("label_x <> label_y and (size_x > size_y or (size_x = size_y and vertex_x > vertex_y))")
     both = both.where(F.least(F.expr("size_x - at_x"), F.expr("size_y - at_y")) >= share * F.expr("size_x + size_y") - F.lit(1e-6))
+    both = both.where(~F.arrays_overlap("before_x", "before_y"))
     return both.select(F.least("vertex_x", "vertex_y").alias("u"), F.greatest("vertex_x", "vertex_y").alias("v")).distinct()
 
 
@@ -493,13 +556,13 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
         return now.select(F.col("u").alias("vertex")).union(now.select("v")).distinct()
 
     sets = sets_of(ends(pairs))
-    edges = tried = None
+    edges = tried = groups = None
     for left in reversed(range(ROUNDS)):
         now = cut(_nearest(pairs), "nearest") if left else pairs
         found = checked(now)
         edges = found if edges is None else edges.union(found)
         tried = now.select("u", "v") if tried is None else tried.union(now.select("u", "v"))
-        groups = components(edges)
+        groups = components(found if groups is None else groups.unionByName(found))
         if left:
             pairs = cut(_apart(pairs.join(now, ["u", "v"], "left_anti"), groups), "pairs")
             if pairs.isEmpty():
@@ -521,7 +584,7 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
         found = checked(now)
         tried = tried.union(now)
         if joined := not found.isEmpty():
-            edges, groups = edges.union(found), components(groups.union(found))
+            edges, groups = edges.union(found), components(groups.unionByName(found))
     groups = groups.withColumnsRenamed({"u": "vertex", "v": "label"})
     labelled = distinct.join(groups, "vertex", "left").select("print", F.coalesce("label", "vertex").alias("label"))
     return prints.select("doc_id", "file", "row", "print").join(labelled, "print").select("doc_id", "file", "row", "label")

@@ -22,9 +22,8 @@ pairs is checked exactly, in rounds: first each document's nearest, then all tha
 
 Routes, nearest ones and rounds only find most links cheaply; none is lost by them, since the rest is found exactly. Of each set's shingles,
 ordered by how common they are in a sample and by hash, those of the prefix are posted: two sets at least as similar as asked share one there, for any
-order. Shingles whose documents are one verified group by then are dropped. Of the others, each document is checked with the hub that its shingle's
-documents have, then with all whose first common shingle leaves room for the similarity in both sets: rare shingles come first, so sets that share
-only common ones are not paired. The result thus doesn't depend on BAND, NEAREST, WIDE_RADIUS or the sample; only the work
+order. Shingles whose documents are one verified group by then are dropped. Of the others, each document is checked with the hub of those that share one of its shingles, if these are many, then with all whose first common shingle leaves room for the similarity in both sets: rare shingles come first, so sets that share
+only common ones are not paired. Of any pairs, those whose prefixes have too little in common are dropped before their whole sets are compared. The result thus doesn't depend on BAND, NEAREST, WIDE_RADIUS or the sample; only the work
 does. Documents with an equal wide fingerprint count as one.
 
 Defined cases. A null or empty text, or one without a word, has fingerprint 0 and links like any other. Fewer words than
@@ -351,6 +350,8 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -
 WIDE_WORDS, WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY = 6, 5, 80, 0.8
 #: Wide prints in a shard before it is parted; candidates of a document there, rounds in which all are checked, and rounds of hubs after them.
 WIDE_SHARD_ROWS, NEAREST, ROUNDS, HUB_ROUNDS = 1024, 4, 2, 1
+#: Documents that share a shingle before they are compared with a hub.
+HUB_ROWS = 64
 #: Documents among which common shingles are counted (so many, or that share of all), and shingles that are ordered by that.
 SAMPLED, SAMPLED_SHARE, COMMON = 16_000, 1 / 32, 1 << 17
 #: Shingles that a task holds before it passes them on; shared ones that each shingle of a prefix keeps of those before it.
@@ -489,14 +490,17 @@ def _live(posts: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _to_hubs(live: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """(u, v): each vertex with the hub of each of its shingles: of the groups that have it, the member of most verified pairs."""
+    """(u, v): each vertex with the hub of each of its shingles that more than HUB_ROWS have: of the groups that have it, the member of most
+    verified pairs."""
+    live = live.select("shingle", "label", "vertex")
+    live = live.join(live.groupBy("shingle").count().where(F.col("count") > HUB_ROWS).select("shingle"), "shingle", "left_semi")
     label = groups.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
     label = label.union(groups.select("v", "v").distinct())
     ends = edges.select(F.col("u").alias("vertex")).union(edges.select("v")).groupBy("vertex").count()
     hubs = ends.join(label, "vertex").groupBy("label").agg(F.max(F.struct("count", "vertex")).alias("hub"))
     posted = live.select("shingle", "label").distinct().join(hubs, "label")
     first = posted.groupBy("shingle").agg(F.max(F.struct("hub", "label")).alias("h")).select("shingle", F.col("h.hub.vertex").alias("hub"), F.col("h.label").alias("other"))
-    met = live.select("shingle", "label", "vertex").join(first, "shingle").where("label <> other")
+    met = live.join(first, "shingle").where("label <> other")
     return met.select(F.least("vertex", "hub").alias("u"), F.greatest("vertex", "hub").alias("v")).distinct()
 
 
@@ -524,10 +528,15 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shard_rows: int
 
 
 def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
-    prints = _printed(docs, similarity)
-    distinct = cut(prints.groupBy("print").agg(F.min(F.struct("vertex", "file", "row")).alias("first")).select("print", "first.*"), "distinct")
-    near = candidates(distinct.select("vertex", "print"), WIDE_RADIUS, WIDE_WORDS, shard_rows)
-    pairs = cut(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "distance").distinct(), "pairs")
+    with scope(docs.sparkSession) as keep:
+        whole = _printed(docs, similarity)
+        prints = cut(whole.drop("prefix"), "prints")
+        distinct = cut(prints.groupBy("print").agg(F.min(F.struct("vertex", "file", "row")).alias("first")).select("print", "first.*"), "distinct")
+        posts = _posts(whole, distinct)
+        tokens = cut(posts.groupBy("vertex").agg(F.collect_list("shingle").alias("tokens"), F.first("size").alias("size")), "tokens")
+        near = candidates(distinct.select("vertex", "print"), WIDE_RADIUS, WIDE_WORDS, shard_rows)
+        pairs = cut(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "distance").distinct(), "pairs")
+        keep(prints, distinct, posts, tokens, pairs)
 
     def shingles(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -548,15 +557,28 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
         texts = prefiltered(docs.select("text", "file", "row"), members, ["file", "row"]).join(members, ["file", "row"]).select("vertex", "text")
         return cut(texts.mapInArrow(shingles, "vertex long, shingles binary"), "shingles")
 
+    def possible(now: DataFrame) -> DataFrame:
+        """The pairs that what their prefixes share, and all that comes after the one's that ends first, could make as similar as asked."""
+        one, two = (tokens.withColumnsRenamed({"vertex": c, "tokens": f"{c}_tokens", "size": f"{c}_size"}) for c in "uv")
+        both = F.size(F.array_intersect("u_tokens", "v_tokens"))
+        after = [F.ceil(F.lit(similarity) * F.col(f"{c}_size") - F.lit(1e-6)) - 1 for c in "uv"]
+        enough = F.lit(similarity / (1 + similarity)) * (F.col("u_size") + F.col("v_size")) - F.lit(1e-6)
+        return now.select("u", "v").join(one, "u").join(two, "v").where(both + F.greatest(*after) >= enough).select("u", "v")
+
     def checked(now: DataFrame) -> DataFrame:
+        nonlocal sets
+        now = cut(possible(now), "possible")
+        new = now.select(F.col("u").alias("vertex")).union(now.select("v")).distinct()
+        if sets is not None:
+            new = new.join(sets, "vertex", "left_anti")
+        new = cut(new, "new")
+        if sets is None or not new.isEmpty():
+            more = sets_of(new)
+            sets = more if sets is None else sets.union(more)
         one, two = (sets.withColumnsRenamed({"vertex": c, "shingles": f"{c}_set"}) for c in "uv")
         return cut(now.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set").mapInArrow(check, "u long, v long"), "checked")
 
-    def ends(now: DataFrame) -> DataFrame:
-        return now.select(F.col("u").alias("vertex")).union(now.select("v")).distinct()
-
-    sets = sets_of(ends(pairs))
-    edges = tried = groups = None
+    sets = edges = tried = groups = None
     for left in reversed(range(ROUNDS)):
         now = cut(_nearest(pairs), "nearest") if left else pairs
         found = checked(now)
@@ -568,7 +590,7 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
             if pairs.isEmpty():
                 break
     # what shards don't offer: pairs whose prefixes meet, first with the hubs of the groups, then all that still lie in two
-    posts, joined = _posts(prints, distinct), True
+    joined = True
     for left in reversed(range(HUB_ROUNDS + 1)):
         if joined:
             posts, joined = _live(posts, groups), False
@@ -578,9 +600,6 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
         now = cut(now.join(tried, ["u", "v"], "left_anti"), "met")
         if now.isEmpty():
             continue
-        new = cut(ends(now).join(sets, "vertex", "left_anti"), "new")
-        if not new.isEmpty():
-            sets = sets.union(sets_of(new))
         found = checked(now)
         tried = tried.union(now)
         if joined := not found.isEmpty():

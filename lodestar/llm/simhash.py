@@ -18,12 +18,14 @@ the set of five-word shingles, and BANDS runs of bits as routes, which two docum
 `bands_miss` states. A run is so long (`band_bits`) that unrelated documents share a shard with few others in any corpus, and shards that are large all
 the same, since they hold copies, are parted by further bits: a shard's search takes time in the square of its rows. Its tree gives each document its
 NEAREST nearest ones within WIDE_RADIUS, later ones too, and the nearest of each group that came before it. The Jaccard similarity of these
-pairs is checked exactly, in rounds: first each document's nearest, then all that still lie in two groups. So few pairs of a large group are ever checked.
+pairs is checked exactly, in rounds: first each document's nearest, then the nearest that isn't in its group by then, at last all that still
+lie in two groups. So few pairs of a large group are ever checked.
 
 Routes, nearest ones and rounds only find most links cheaply; none is lost by them, since the rest is found exactly. Of each set's shingles,
 ordered by how common they are in a sample and by hash, those of the prefix are posted: two sets at least as similar as asked share one there, for any
-order. Shingles whose documents are one verified group by then are dropped. Of the others, each document is checked with the hub of those that share one of its shingles, if these are many, then with all whose first common shingle leaves room for the similarity in both sets: rare shingles come first, so sets that share
-only common ones are not paired. Of any pairs, those whose prefixes have too little in common are dropped before their whole sets are compared. The result thus doesn't depend on BAND, NEAREST, WIDE_RADIUS or the sample; only the work
+order. Two documents of different groups are met by a shingle if it can be their first common one, and leaves room for the similarity in both sets:
+rare shingles come first, so sets that share only common ones aren't met. Of any pairs, those whose prefixes, and then the last 16 bits of whose
+shingles, have too little in common are dropped before whole sets are compared. The result thus doesn't depend on BAND, NEAREST, WIDE_RADIUS or the sample; only the work
 does. Documents with an equal wide fingerprint count as one.
 
 Defined cases. A null or empty text, or one without a word, has fingerprint 0 and links like any other. Fewer words than
@@ -179,7 +181,7 @@ def _heavy(routes: DataFrame, rows: int) -> DataFrame | None:
 
 def _refined(routes: DataFrame, words: int, rows: int) -> DataFrame:
     """Shards of wide prints with more than so many rows, parted by 16 more bits at a time. Near copies that so lose sight of each other
-    there have the other routes, the hubs, and the prefixes."""
+    there have the other routes, and the prefixes."""
     done: list[DataFrame] = []
     for k in range(4 * words):
         if (heavy := _heavy(routes, rows)) is None:
@@ -348,14 +350,12 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -
 #: Bits / 64 and radius: two documents of Jaccard similarity J differ in arccos(2 J / (1 + J)) / pi of the bits, 58 of 384 with a standard
 #: deviation of 7 at 0.8; unrelated ones in 192.
 WIDE_WORDS, WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY = 6, 5, 80, 0.8
-#: Wide prints in a shard before it is parted; candidates of a document there, rounds in which all are checked, and rounds of hubs after them.
-WIDE_SHARD_ROWS, NEAREST, ROUNDS, HUB_ROUNDS = 1024, 4, 2, 1
-#: Documents that share a shingle before they are compared with a hub.
-HUB_ROWS = 64
+#: Wide prints in a shard before it is parted; candidates of a document there, and rounds in which all are checked.
+WIDE_SHARD_ROWS, NEAREST, ROUNDS = 1024, 2, 3
 #: Documents among which common shingles are counted (so many, or that share of all), and shingles that are ordered by that.
 SAMPLED, SAMPLED_SHARE, COMMON = 16_000, 1 / 32, 1 << 17
 #: Shingles that a task holds before it passes them on; shared ones that each shingle of a prefix keeps of those before it.
-FLUSH, BEFORE = 1 << 21, 6
+FLUSH, BEFORE = 1 << 21, 3
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -481,27 +481,10 @@ def _posts(prints: DataFrame, distinct: DataFrame) -> DataFrame:
     return cut(posts.withColumn("before", F.collect_list("shingle").over(earlier)), "posts")
 
 
-def _live(posts: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows (vertex, size, at, shingle) whose shingle occurs in two groups, with their label."""
+def _labelled(posts: DataFrame, groups: DataFrame) -> DataFrame:
+    """With the label of each row's group."""
     named = groups.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
-    posts = posts.drop("label").join(named, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
-    shared = posts.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("shingle")
-    return cut(posts.join(shared, "shingle", "left_semi"), "live")
-
-
-def _to_hubs(live: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """(u, v): each vertex with the hub of each of its shingles that more than HUB_ROWS have: of the groups that have it, the member of most
-    verified pairs."""
-    live = live.select("shingle", "label", "vertex")
-    live = live.join(live.groupBy("shingle").count().where(F.col("count") > HUB_ROWS).select("shingle"), "shingle", "left_semi")
-    label = groups.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
-    label = label.union(groups.select("v", "v").distinct())
-    ends = edges.select(F.col("u").alias("vertex")).union(edges.select("v")).groupBy("vertex").count()
-    hubs = ends.join(label, "vertex").groupBy("label").agg(F.max(F.struct("count", "vertex")).alias("hub"))
-    posted = live.select("shingle", "label").distinct().join(hubs, "label")
-    first = posted.groupBy("shingle").agg(F.max(F.struct("hub", "label")).alias("h")).select("shingle", F.col("h.hub.vertex").alias("hub"), F.col("h.label").alias("other"))
-    met = live.join(first, "shingle").where("label <> other")
-    return met.select(F.least("vertex", "hub").alias("u"), F.greatest("vertex", "hub").alias("v")).distinct()
+    return posts.join(named, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
 
 
 def _rest(live: DataFrame, similarity: float) -> DataFrame:
@@ -527,6 +510,19 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shard_rows: int
     return out
 
 
+def _in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Of two sorted arrays, repeats included."""
+    if len(x) == 0 or len(y) == 0:
+        return 0
+    both = np.concatenate([x, y])
+    if len(x) == len(np.unique(x)) and len(y) == len(np.unique(y)):
+        both.sort()
+        return int((both[1:] == both[:-1]).sum())
+    (a, n), (b, m) = (np.unique(z, return_counts=True) for z in (x, y))
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
 def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
     with scope(docs.sparkSession) as keep:
         whole = _printed(docs, similarity)
@@ -540,22 +536,24 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
 
     def shingles(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, WIDE_SHINGLE)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["vertex", "shingles"])
+            sets = [np.unique(shingle_hashes(t, WIDE_SHINGLE)) for t in b.column(1).to_pylist()]
+            made = [pa.array([x.tobytes() for x in xs], pa.binary()) for xs in ([np.sort(x.astype(np.uint16)) for x in sets], sets)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["vertex", "codes", "shingles"])
 
-    def check(batches: Iterator[pa.RecordBatch]):
+    def check(batches: Iterator[pa.RecordBatch], kind: type):
+        """Of the shingles, or of their last 16 bits: these have no less in common, so what they rule out is ruled out."""
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+                both = _in_common(x, y)
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     def sets_of(vertices: DataFrame) -> DataFrame:
         members = cut(distinct.join(vertices, "vertex", "left_semi").select("vertex", "file", "row"), "members")
         texts = prefiltered(docs.select("text", "file", "row"), members, ["file", "row"]).join(members, ["file", "row"]).select("vertex", "text")
-        return cut(texts.mapInArrow(shingles, "vertex long, shingles binary"), "shingles")
+        return cut(texts.mapInArrow(shingles, "vertex long, codes binary, shingles binary"), "shingles")
 
     def possible(now: DataFrame) -> DataFrame:
         """The pairs that what their prefixes share, and all that comes after the one's that ends first, could make as similar as asked."""
@@ -575,8 +573,11 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
         if sets is None or not new.isEmpty():
             more = sets_of(new)
             sets = more if sets is None else sets.union(more)
-        one, two = (sets.withColumnsRenamed({"vertex": c, "shingles": f"{c}_set"}) for c in "uv")
-        return cut(now.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set").mapInArrow(check, "u long, v long"), "checked")
+        for column, kind in (("codes", np.uint16), ("shingles", np.uint64)):
+            one, two = (sets.select(F.col("vertex").alias(c), F.col(column).alias(f"{c}_set")) for c in "uv")
+            both = now.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set")
+            now = cut(both.mapInArrow(lambda batches, kind=kind: check(batches, kind), "u long, v long"), "checked")
+        return now
 
     sets = edges = tried = groups = None
     for left in reversed(range(ROUNDS)):
@@ -589,21 +590,10 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
             pairs = cut(_apart(pairs.join(now, ["u", "v"], "left_anti"), groups), "pairs")
             if pairs.isEmpty():
                 break
-    # what shards don't offer: pairs whose prefixes meet, first with the hubs of the groups, then all that still lie in two
-    joined = True
-    for left in reversed(range(HUB_ROUNDS + 1)):
-        if joined:
-            posts, joined = _live(posts, groups), False
-        elif left:
-            continue
-        now = _to_hubs(posts, groups, edges) if left else _rest(posts, similarity)
-        now = cut(now.join(tried, ["u", "v"], "left_anti"), "met")
-        if now.isEmpty():
-            continue
-        found = checked(now)
-        tried = tried.union(now)
-        if joined := not found.isEmpty():
-            edges, groups = edges.union(found), components(groups.unionByName(found))
+    # what shards don't offer: pairs of two groups whose prefixes meet
+    now = cut(_rest(_labelled(posts, groups), similarity).join(tried, ["u", "v"], "left_anti"), "met")
+    if not now.isEmpty() and not (found := checked(now)).isEmpty():
+        groups = components(groups.unionByName(found))
     groups = groups.withColumnsRenamed({"u": "vertex", "v": "label"})
     labelled = distinct.join(groups, "vertex", "left").select("print", F.coalesce("label", "vertex").alias("label"))
     return prints.select("doc_id", "file", "row", "print").join(labelled, "print").select("doc_id", "file", "row", "label")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import nbsvm
-from .common import cut, read_table
+from .common import cut, read_table, trim
 from .labelled import held_out, sampled
 
 #: Labelled rows to fit on, at most, and bytes of their indicators.
@@ -48,6 +48,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
         rows = sorted((r["doc_id"], r["grams"], r["label"]) for b in batches for r in b.to_pylist())
         model = nbsvm.fit([np.frombuffer(g, np.int32) for _, g, _ in rows], np.array([y for *_, y in rows], int))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        rows.clear()
+        trim()  # the worker goes on to other tasks
 
     # one task's, bounded by sample_bytes; without rows there is no task
     found = made.coalesce(1).mapInArrow(fit, "model binary").collect()

@@ -37,8 +37,10 @@ doc_id. Repeated rows come out as often as they came in. Empty table: empty resu
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from heapq import heappush, heappushpop
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -298,7 +300,7 @@ def _searched(routes: DataFrame, radius: int, nearest: int) -> DataFrame:
         if len(vs) > 1 and (out := list(shard_links(vs, ps, radius, nearest))):
             yield linked(out)
 
-    return routes.repartition("route").sortWithinPartitions("route").mapInArrow(tasks, ", ".join(f"{c} long" for c in names))
+    return routes.select("route", "vertex", "print").repartition("route").sortWithinPartitions("route").mapInArrow(tasks, ", ".join(f"{c} long" for c in names))
 
 
 def links(prints: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -354,8 +356,8 @@ WIDE_WORDS, WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY = 6, 5, 80, 0.8
 WIDE_SHARD_ROWS, NEAREST, ROUNDS = 1024, 2, 3
 #: Documents among which common shingles are counted (so many, or that share of all), and shingles that are ordered by that.
 SAMPLED, SAMPLED_SHARE, COMMON = 16_000, 1 / 32, 1 << 17
-#: Shingles that a task holds before it passes them on; shared ones that each shingle of a prefix keeps of those before it.
-FLUSH, BEFORE = 1 << 21, 3
+#: Shingles that a task holds before it passes them on, and texts, or pairs, that a Python function gets at a time.
+FLUSH, TEXTS, PAIRS = 1 << 19, 1000, 500
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -424,7 +426,7 @@ def _printed(docs: DataFrame, similarity: float) -> DataFrame:
 
     more = StructType.fromDDL("print binary, size int, prefix array<long>")
     made = docs.select("text", "doc_id", "file", "row").mapInArrow(tasks, StructType([*kept.schema.fields, *more.fields]))
-    return cut(made.select("*", F.monotonically_increasing_id().alias("vertex")), "prints")
+    return cut(made.select("*", F.monotonically_increasing_id().alias("vertex")), "prints", TEXTS)
 
 
 def _shared(prints: DataFrame) -> DataFrame:
@@ -473,12 +475,12 @@ def _shared(prints: DataFrame) -> DataFrame:
 
 
 def _posts(prints: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(vertex, size, at, shingle, before): the prefixes' shingles that several vertices have, and the last BEFORE such ones before each."""
+    """(vertex, size, at, shingle, before, earlier): the prefixes' shingles that several vertices have, and the last two such ones before each."""
     posts = prints.select("vertex", "size", F.posexplode("prefix").alias("at", "shingle")).withColumn("code", F.shiftrightunsigned("shingle", 16))
     shared = _shared(prints)
     posts = prefiltered(posts, shared, ["code"]).join(shared, "code", "left_semi").drop("code").join(distinct.select("vertex"), "vertex", "left_semi")
-    earlier = Window.partitionBy("vertex").orderBy("at").rowsBetween(-BEFORE, -1)
-    return cut(posts.withColumn("before", F.collect_list("shingle").over(earlier)), "posts")
+    own = Window.partitionBy("vertex").orderBy("at")
+    return cut(posts.select("*", F.lag("shingle", 1).over(own).alias("before"), F.lag("shingle", 2).over(own).alias("earlier")), "posts")
 
 
 def _labelled(posts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -492,11 +494,12 @@ def _rest(live: DataFrame, similarity: float) -> DataFrame:
     for the similarity. What comes before the first common one in either set isn't shared, so at most what comes after is. A shingle that one
     of those before it in both sets precedes isn't the first, so few pairs are found by more than that."""
     share = F.lit(similarity / (1 + similarity))
-    x, y = (live.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("vertex", "label", "size", "at", "before"))) for k in "xy")
+    x, y = (live.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("vertex", "label", "size", "at", "before", "earlier"))) for k in "xy")
     y = y.where(F.expr("size_y - at_y") >= share * 2 * F.col("size_y") - F.lit(1e-6))  # of two sets that of fewer, and it must have room beside one as large
     both = x.join(y, "shingle").where("label_x <> label_y and (size_x > size_y or (size_x = size_y and vertex_x > vertex_y))")
     both = both.where(F.least(F.expr("size_x - at_x"), F.expr("size_y - at_y")) >= share * F.expr("size_x + size_y") - F.lit(1e-6))
-    both = both.where(~F.arrays_overlap("before_x", "before_y"))
+    same = [F.coalesce(F.col(f"{a}_x") == F.col(f"{b}_y"), F.lit(False)) for a in ("before", "earlier") for b in ("before", "earlier")]
+    both = both.where(~reduce(or_, same))
     return both.select(F.least("vertex_x", "vertex_y").alias("u"), F.greatest("vertex_x", "vertex_y").alias("v")).distinct()
 
 
@@ -553,7 +556,7 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
     def sets_of(vertices: DataFrame) -> DataFrame:
         members = cut(distinct.join(vertices, "vertex", "left_semi").select("vertex", "file", "row"), "members")
         texts = prefiltered(docs.select("text", "file", "row"), members, ["file", "row"]).join(members, ["file", "row"]).select("vertex", "text")
-        return cut(texts.mapInArrow(shingles, "vertex long, codes binary, shingles binary"), "shingles")
+        return cut(texts.mapInArrow(shingles, "vertex long, codes binary, shingles binary"), "shingles", TEXTS)
 
     def possible(now: DataFrame) -> DataFrame:
         """The pairs that what their prefixes share, and all that comes after the one's that ends first, could make as similar as asked."""
@@ -576,7 +579,7 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
         for column, kind in (("codes", np.uint16), ("shingles", np.uint64)):
             one, two = (sets.select(F.col("vertex").alias(c), F.col(column).alias(f"{c}_set")) for c in "uv")
             both = now.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set")
-            now = cut(both.mapInArrow(lambda batches, kind=kind: check(batches, kind), "u long, v long"), "checked")
+            now = cut(both.mapInArrow(lambda batches, kind=kind: check(batches, kind), "u long, v long"), "checked", PAIRS)
         return now
 
     sets = edges = tried = groups = None

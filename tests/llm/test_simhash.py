@@ -197,9 +197,7 @@ def test_parted_shards_lose_no_group(spark, tmp_path):
 def test_pairs_that_only_share_common_shingles_are_not_checked(spark):
     """Sets of 100 shingles, of which the last 70 of the order are common to all: no two are met."""
     rows = [(v, 100, at, (v * 100 + at if at < 12 else at), v) for v in range(200) for at in range(21)]
-    from pyspark.sql import functions as F
-
-    live = spark.createDataFrame(rows, "vertex long, size int, at int, shingle long, label long").withColumn("before", F.array().cast("array<long>"))
+    live = spark.createDataFrame(rows, "vertex long, size int, at int, shingle long, label long").selectExpr("*", "cast(null as long) before", "cast(null as long) earlier")
     assert simhash._rest(live, 0.8).count() == 0
     near = [(v, 100, at, (v * 100 + at if at < 11 else at), v) for v in range(3) for at in range(21)]
-    assert simhash._rest(spark.createDataFrame([(*r, []) for r in near], live.schema), 0.8).count() == 3
+    assert simhash._rest(spark.createDataFrame([(*r, None, None) for r in near], live.schema), 0.8).count() == 3

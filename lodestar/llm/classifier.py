@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import nbsvm
-from .common import cut, read_table, trim
+from .common import cut, read_table, trim, trimmed
 from .labelled import held_out, sampled
 
 #: Labelled rows to fit on, at most, and bytes of their indicators.
@@ -38,7 +38,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
             grams = [indicators(t).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary()), b.column(2)], names=["doc_id", "grams", "label"])
 
-    made = cut(sampled(docs, labels, sample).select("doc_id", "text", "label").mapInArrow(tasks, "doc_id long, grams binary, label int"), "indicators")
+    made = cut(sampled(docs, labels, sample).select("doc_id", "text", "label").mapInArrow(trimmed(tasks), "doc_id long, grams binary, label int"), "indicators")
     order = F.xxhash64("doc_id")
     sizes = sorted(made.select(order, F.octet_length("grams")).collect())  # bounded by sample
     if (upto := int(np.searchsorted(np.cumsum([n for _, n in sizes]), sample_bytes, "right"))) < len(sizes):
@@ -49,10 +49,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
         model = nbsvm.fit([np.frombuffer(g, np.int32) for _, g, _ in rows], np.array([y for *_, y in rows], int))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
         rows.clear()
-        trim()  # the worker goes on to other tasks
 
     # one task's, bounded by sample_bytes; without rows there is no task
-    found = made.coalesce(1).mapInArrow(fit, "model binary").collect()
+    found = made.coalesce(1).mapInArrow(trimmed(fit), "model binary").collect()
     return pickle.loads(found[0][0]) if found else nbsvm.fit([], np.empty(0, int))
 
 
@@ -65,6 +64,7 @@ def scorer(spark: SparkSession, model: nbsvm.Model):
         indicators, m = nbsvm.Indicators(), shared.value
         for t in texts:
             yield pd.Series([m.score(indicators(x)) for x in t], dtype="float64")
+        trim()
 
     def apply(text: Column) -> Column:
         return score(F.coalesce(text, F.lit("")))

@@ -7,8 +7,10 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,10 +120,21 @@ def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
 
 def trim() -> None:
     """Gives memory that Python has freed back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def trimmed(tasks: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives memory back at its end: workers live on, and several share an executor."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from tasks(batches)
+        trim()
+
+    return run
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

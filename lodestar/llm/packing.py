@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import read_table, trimmed
 
 MAX_TOKENS, MAX_SEGMENTS, END_ID = 2048, 512, 1
 #: Remainders that a task holds before it packs half of them.
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
     def tasks(batches):
         yield from pack_documents(batches, TaskContext.get().partitionId(), max_tokens, max_segments)
 
-    return docs.select("doc_id", "text").mapInArrow(tasks, _PIECE)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(tasks), _PIECE)
 
 
 def pack_examples(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS, pool: int = POOL) -> DataFrame:

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut, prefiltered, read_table, scope
+from .common import cut, prefiltered, read_table, scope, trimmed
 from .components import components
 from .suffix_dedup import packed, unpacked
 
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, words: int = 1, carry: Se
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(prints, pa.binary())], names=[*b.schema.names[1:], "print"])
 
     schema = StructType([*kept.schema.fields, StructField("print", BinaryType())])
-    return docs.select("text", "doc_id", *carry).mapInArrow(tasks, schema)
+    return docs.select("text", "doc_id", *carry).mapInArrow(trimmed(tasks), schema)
 
 
 def blocks(bits: list[int], n: int) -> list[int]:
@@ -172,7 +172,7 @@ def _routed(prints: DataFrame, level_masks: list[int], fan: int, words: int, ban
                 names=["route", "mask", "vertex", "print"],
             )
 
-    return prints.mapInArrow(tasks, "route long, mask int, vertex long, print binary")
+    return prints.mapInArrow(trimmed(tasks), "route long, mask int, vertex long, print binary")
 
 
 def _heavy(routes: DataFrame, rows: int) -> DataFrame | None:
@@ -300,7 +300,7 @@ def _searched(routes: DataFrame, radius: int, nearest: int) -> DataFrame:
         if len(vs) > 1 and (out := list(shard_links(vs, ps, radius, nearest))):
             yield linked(out)
 
-    return routes.select("route", "vertex", "print").repartition("route").sortWithinPartitions("route").mapInArrow(tasks, ", ".join(f"{c} long" for c in names))
+    return routes.select("route", "vertex", "print").repartition("route").sortWithinPartitions("route").mapInArrow(trimmed(tasks), ", ".join(f"{c} long" for c in names))
 
 
 def links(prints: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -389,7 +389,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield _repeated(held)
 
-    counts = part.mapInArrow(tasks, "shingle long, count long").groupBy("shingle").agg(F.sum("count").alias("count"))
+    counts = part.mapInArrow(trimmed(tasks), "shingle long, count long").groupBy("shingle").agg(F.sum("count").alias("count"))
     found = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
     shingles, n = found.column("shingle").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(shingles)
@@ -425,7 +425,7 @@ def _printed(docs: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *made], names=[*b.schema.names[1:], "print", "size", "prefix"])
 
     more = StructType.fromDDL("print binary, size int, prefix array<long>")
-    made = docs.select("text", "doc_id", "file", "row").mapInArrow(tasks, StructType([*kept.schema.fields, *more.fields]))
+    made = docs.select("text", "doc_id", "file", "row").mapInArrow(trimmed(tasks), StructType([*kept.schema.fields, *more.fields]))
     return cut(made.select("*", F.monotonically_increasing_id().alias("vertex")), "prints", TEXTS)
 
 
@@ -470,8 +470,8 @@ def _shared(prints: DataFrame) -> DataFrame:
         if blobs:
             yield found()
 
-    packs = prints.select("prefix").mapInArrow(dealt, "bucket long, data binary")
-    return cut(packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(several, "code long"), "shared")
+    packs = prints.select("prefix").mapInArrow(trimmed(dealt), "bucket long, data binary")
+    return cut(packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(several), "code long"), "shared")
 
 
 def _posts(prints: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -556,7 +556,7 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
     def sets_of(vertices: DataFrame) -> DataFrame:
         members = cut(distinct.join(vertices, "vertex", "left_semi").select("vertex", "file", "row"), "members")
         texts = prefiltered(docs.select("text", "file", "row"), members, ["file", "row"]).join(members, ["file", "row"]).select("vertex", "text")
-        return cut(texts.mapInArrow(shingles, "vertex long, codes binary, shingles binary"), "shingles", TEXTS)
+        return cut(texts.mapInArrow(trimmed(shingles), "vertex long, codes binary, shingles binary"), "shingles", TEXTS)
 
     def possible(now: DataFrame) -> DataFrame:
         """The pairs that what their prefixes share, and all that comes after the one's that ends first, could make as similar as asked."""
@@ -579,7 +579,7 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
         for column, kind in (("codes", np.uint16), ("shingles", np.uint64)):
             one, two = (sets.select(F.col("vertex").alias(c), F.col(column).alias(f"{c}_set")) for c in "uv")
             both = now.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set")
-            now = cut(both.mapInArrow(lambda batches, kind=kind: check(batches, kind), "u long, v long"), "checked", PAIRS)
+            now = cut(both.mapInArrow(trimmed(lambda batches, kind=kind: check(batches, kind)), "u long, v long"), "checked", PAIRS)
         return now
 
     sets = edges = tried = groups = None

@@ -9,7 +9,7 @@ only routes with several ever reach the transform. Equality of segments is by tw
 
 Scale. Three shuffles of bounded rows: hashes of runs (about one run for 17 bytes, packed by byte planes), and the texts, by document, twice:
 to cut out the segments that are asked for, and to remove what is covered. A bucket stands for BUCKET_BYTES of text, whatever the table's
-size, and a task holds one bucket at a time. A run that many documents share is settled in the task that reads them, which passes on only
+size, and a task holds one bucket at a time; of its segments, whole routes of PIECE_BYTES or more at a time are transformed. A run that many documents share is settled in the task that reads them, which passes on only
 its smallest document, so a passage in a third of all documents sends one row for each FLUSH_BYTES of text. A string that many documents have
 in different surroundings makes a hot route of many segments: such routes are found in a sample and parted by the bytes around the string
 (_parted), up to whole windows, so that their segments spread over all buckets. Nothing but at most HOT_ROUTES routes passes through the driver.
@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import shared_windows
-from .common import cut, read_table, scope
+from .common import cut, read_table, scope, trimmed
 
 LENGTH, K = 50, 20
 #: Text for a bucket, and text after which a task passes on its runs. Windows in a run at most.
 BUCKET_BYTES, FLUSH_BYTES, RUN = 8 << 20, 12 << 20, 64
+#: Text of a transform, but for its last route; measured, a transform takes 68 bytes of memory for each byte of it.
+PIECE_BYTES = 1 << 20
 #: A route of more segments is hot, and parted; hot routes are sought in a sample (of so many bytes, or that share); the hottest are parted first.
 HOT_SEGMENTS, SAMPLE_BYTES, SAMPLE_SHARE, HOT_ROUTES = 20_000, 16 << 20, 1 / 64, 1 << 16
 #: Times that a hot route is halved at most: after that it has one window's text.
@@ -46,7 +48,7 @@ _CHUNK = 1 << 20
 #: Tasks of the transforms at most.
 TASKS = 1 << 15
 #: Texts, or packed rows, that a Python function gets at a time.
-_TEXTS, _BLOBS = 1000, 32
+_TEXTS, _BLOBS = 128, 32
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Bytes kept of each number of a packed row: route, segment, document, variant, start, windows.
 _RUN_BYTES, _COVER_BYTES = (6, 6, 8, 4, 4, 1), (8, 4, 4, 4)
@@ -346,8 +348,21 @@ def _ranks(doc: np.ndarray, variant: np.ndarray) -> np.ndarray:
     return out
 
 
-def _expand(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """A bucket's segments to replies, by the transform of their texts."""
+def _pieces(texts: list[bytes], hot: np.ndarray, piece: int) -> Iterator[np.ndarray]:
+    """Numbers of the texts of whole routes, of so many bytes or more together (the last: of fewer). A segment's first window tells its route."""
+    route = np.concatenate([runs([t[:LENGTH] for t in texts[i : i + 8192]], hot=hot)[3] for i in range(0, len(texts), 8192)])
+    o = np.argsort(route, kind="stable")
+    heads, counts = _groups(route[o])
+    ends = np.cumsum(np.array([len(t) for t in texts], np.int64)[o])
+    first, before = 0, 0
+    for end in (heads + counts).tolist():
+        if ends[end - 1] - before >= piece or end == len(o):
+            yield o[first:end]
+            first, before = end, int(ends[end - 1])
+
+
+def _expand(batches: Iterator[pa.RecordBatch], parts: int, hot: np.ndarray, piece: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A bucket's segments to replies, by the transforms of their texts."""
 
     def judged(blobs: list[bytes]) -> list[tuple]:
         numbers, texts, width = [], [], sum(_COVER_BYTES)
@@ -359,14 +374,17 @@ def _expand(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
             for c in (cols[3] + np.uint64(LENGTH - 1)).tolist():
                 texts.append(blob[at : at + c])
                 at += c
+        blobs.clear()
         doc, variant, start, _ = (np.concatenate(c) for c in zip(*numbers, strict=True))
-        # a document may be cut out twice where its rows repeat
-        found = shared_windows(texts, _ranks(doc, variant), LENGTH)
-        if not found:
-            return []
-        which, offset, count = (np.array(c, np.uint64) for c in zip(*found, strict=True))
-        i = which.astype(np.int64)
-        return _covered(doc[i], variant[i], start[i] + offset, count, parts)
+        said = []
+        for at in _pieces(texts, hot, piece):
+            # a document may be cut out twice where its rows repeat
+            found = shared_windows([texts[i] for i in at.tolist()], _ranks(doc[at], variant[at]), LENGTH)
+            if found:
+                which, offset, count = (np.array(c, np.uint64) for c in zip(*found, strict=True))
+                i = at[which.astype(np.int64)]
+                said.append((doc[i], variant[i], start[i] + offset, count))
+        return _covered(*(np.concatenate(c) for c in zip(*said, strict=True)), parts) if said else []
 
     last, blobs = None, []
     for b in batches:
@@ -428,7 +446,7 @@ def _hot_routes(rows: DataFrame, total: int, segments: int) -> np.ndarray:
                     found, n = np.unique(one, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["route", "n"])
 
-        counts = rows.select("text").sample(share, 1).mapInArrow(count, "route long, n long").groupBy("route").agg(F.sum("n").alias("n"))
+        counts = rows.select("text").sample(share, 1).mapInArrow(trimmed(count), "route long, n long").groupBy("route").agg(F.sum("n").alias("n"))
         top = counts.where(F.col("n") >= max(2.0, segments * share)).orderBy(F.desc("n"), "route").limit(HOT_ROUTES).toArrow()
         more = np.setdiff1d(top.column("route").to_numpy().view(np.uint64), hot)
         hot = np.union1d(hot, more)
@@ -469,7 +487,7 @@ def _deduplicated(docs: DataFrame, texts: bool, bucket_bytes: int, flush: int, h
         yield from _reduce(batches, parts)
 
     def expand_(batches):
-        yield from _expand(batches, parts)
+        yield from _expand(batches, parts, hot)
 
     def final_(batches):
         yield from _final(batches, texts)
@@ -480,17 +498,17 @@ def _deduplicated(docs: DataFrame, texts: bool, bucket_bytes: int, flush: int, h
 
         return pd.Series(_part(_numbers(d.to_numpy()), v.to_numpy().astype(np.uint64), parts))
 
-    judged = cut(rows.mapInArrow(map_, _ROW).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce_, _ROW), "judged", _BLOBS)
+    judged = cut(rows.mapInArrow(trimmed(map_), _ROW).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(reduce_), _ROW), "judged", _BLOBS)
     by_doc = rows.select(part_of("doc", "variant").alias("part"), F.lit(_TEXT).alias("kind"), F.lit(0).cast("long").alias("bucket"), "doc", "variant", F.col("text").alias("data"))
 
     def met(notes: DataFrame) -> DataFrame:
         said = notes.select("part", "kind", "bucket", F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("variant"), "data")
         return said.union(by_doc).repartition("part").sortWithinPartitions("part", "kind")
 
-    segments = met(judged.where(F.col("kind") == _ASK)).mapInArrow(_segments, _ROW)
-    more = cut(segments.repartition(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(expand_, _ROW), "expanded", _TEXTS)
+    segments = met(judged.where(F.col("kind") == _ASK)).mapInArrow(trimmed(_segments), _ROW)
+    more = cut(segments.repartition(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(expand_), _ROW), "expanded", _TEXTS)
     covered = judged.where(F.col("kind") == _REPLY).union(more)
-    return cut(met(covered).mapInArrow(final_, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>"), "deduplicated", _TEXTS)
+    return cut(met(covered).mapInArrow(trimmed(final_), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>"), "deduplicated", _TEXTS)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

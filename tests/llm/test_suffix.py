@@ -124,3 +124,36 @@ def test_borders_are_those_of_sorted_suffixes(seed):
                 want.add((i, at))
     got = {(i, at + k) for i, at, c in bwt.shared_windows(parts, owners, n) for k in range(c)}
     assert got == want
+
+
+def test_a_bucket_is_transformed_in_pieces_of_whole_routes(monkeypatch):
+    """A transform's memory is bounded by a piece and a route, whatever a bucket holds, and what it finds is the same."""
+    rows = sorted(_hot_rows(1500))
+    texts, sizes = [t.encode() for _, t in rows], []
+    of, start, count, *_ = suffix_dedup.runs(texts)
+    cut = [texts[i][s : s + c + 49] for i, s, c in zip(of, start, count)]
+    doc = of.astype(np.uint64)
+    blob = suffix_dedup.packed([doc, doc * 0, start.astype(np.uint64), count.astype(np.uint64)], suffix_dedup._COVER_BYTES)
+    batches = list(suffix_dedup._rows([(0, suffix_dedup._ASK, 0, len(cut).to_bytes(4, "little") + blob + b"".join(cut))]))
+    whole = suffix_dedup.shared_windows
+
+    def transform(segments, owners, length):
+        sizes.append(sum(map(len, segments)))
+        return whole(segments, owners, length)
+
+    monkeypatch.setattr(suffix_dedup, "shared_windows", transform)
+
+    def found(hot, piece):
+        sizes.clear()
+        blobs = [d for b in suffix_dedup._expand(iter(batches), 3, hot, piece) for d in b.column(3).to_pylist()]
+        d, _, s, c = suffix_dedup.unpacked(blobs, suffix_dedup._COVER_BYTES)
+        return sorted((x, y + k) for x, y, z in zip(d.tolist(), s.tolist(), c.tolist()) for k in range(z))
+
+    none, total = np.empty(0, np.uint64), sum(map(len, cut))
+    want = found(none, total)
+    assert sizes == [total] and len(want) > 1000
+    routes = suffix_dedup.runs(texts)[3]
+    largest = max(sum(len(cut[i]) for i in np.flatnonzero(routes == r)) for r in np.unique(routes))
+    for piece in (1, 5000):
+        assert found(none, piece) == want
+        assert sum(sizes) == total and max(sizes) < piece + largest < total

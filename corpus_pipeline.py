@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import classifier, exact_dedup, mixing, packing, simhash
-from lodestar.llm.common import cut, locator, read_table, scope
+from lodestar.llm.common import cut, locator, read_table, scope, settle
 
 
 def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -22,18 +22,22 @@ def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; null and empty texts are scored like any others."""
     score = classifier.scorer(spark, classifier.train(docs, read_table(spark, sf_dir, "labels")))
+    settle(spark)
     scored = docs.select(F.struct("*").alias("own"), score(F.col("text")).alias("score"))
     return scored.where(F.col("score") >= classifier.THRESHOLD).select("own.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that with the smallest doc_id (null last)."""
-    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    found = exact_dedup.exact_dedup(docs)
+    settle(spark)
+    return _only(docs, found.where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five-word shingles, similarity 0.8), that with the smallest doc_id (null last)."""
     groups = simhash.near_copies(docs.select("doc_id", "text", *locator(docs)))
+    settle(spark)
     first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("first"))
     return _only(docs, first.select("first.file", "first.row"))
 

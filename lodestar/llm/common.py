@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -125,6 +126,25 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Gives back what the driver doesn't use any more: its heap, the broadcasts and shuffles of frames that are gone, and native memory that was freed.
+
+    Long runs of small jobs otherwise leave it with all the heap it may have, and with as much again that its C library keeps in pieces."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    gc.collect()  # Python's references hold the JVM's frames
+    jvm.System.gc()
+    with suppress(Exception):  # JVMs without this command keep their freed memory
+        kinds = [jvm.java.lang.Class.forName(n) for n in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        signature = gateway.new_array(jvm.java.lang.Class, 4)
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(kinds):
+            signature[i] = kind
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", signature)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    trim()
+
+
 def trimmed(tasks: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task's function that gives memory back at its end: workers live on, and several share an executor."""
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut, scope
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, after: Callable[[], None] = lambda: None) -> DataFrame:
     """edges (u, v): longs, any direction, loops and repeats allowed. Returns (u, v): each vertex that has an edge to
-    another and isn't the least of its component, with that least vertex.
+    another and isn't the least of its component, with that least vertex. after: called after each step.
 
     Every step only joins vertices with their least neighbour, so a star with a third of all vertices stays a list of
     edges; its centre is a hot join key, which adaptive execution splits. O(log^2 n) steps."""
@@ -26,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
             low = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low).distinct()
             e, now = _told(small)
+            after()
         keep(e)
     return e
 

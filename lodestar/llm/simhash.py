@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut, prefiltered, read_table, scope, trimmed
+from .common import cut, prefiltered, read_table, scope, settle, trimmed
 from .components import components
 from .suffix_dedup import packed, unpacked
 
@@ -531,8 +531,10 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
         whole = _printed(docs, similarity)
         prints = cut(whole.drop("prefix"), "prints")
         distinct = cut(prints.groupBy("print").agg(F.min(F.struct("vertex", "file", "row")).alias("first")).select("print", "first.*"), "distinct")
+        settle(docs.sparkSession)
         posts = _posts(whole, distinct)
         tokens = cut(posts.groupBy("vertex").agg(F.collect_list("shingle").alias("tokens"), F.first("size").alias("size")), "tokens")
+        settle(docs.sparkSession)
         near = candidates(distinct.select("vertex", "print"), WIDE_RADIUS, WIDE_WORDS, shard_rows)
         pairs = cut(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "distance").distinct(), "pairs")
         keep(prints, distinct, posts, tokens, pairs)
@@ -580,15 +582,20 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
             one, two = (sets.select(F.col("vertex").alias(c), F.col(column).alias(f"{c}_set")) for c in "uv")
             both = now.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set")
             now = cut(both.mapInArrow(trimmed(lambda batches, kind=kind: check(batches, kind)), "u long, v long"), "checked", PAIRS)
+            settled()
         return now
 
+    def settled() -> None:
+        settle(docs.sparkSession)
+
+    settled()
     sets = edges = tried = groups = None
     for left in reversed(range(ROUNDS)):
         now = cut(_nearest(pairs), "nearest") if left else pairs
         found = checked(now)
         edges = found if edges is None else edges.union(found)
         tried = now.select("u", "v") if tried is None else tried.union(now.select("u", "v"))
-        groups = components(found if groups is None else groups.unionByName(found))
+        groups = components(found if groups is None else groups.unionByName(found), settled)
         if left:
             pairs = cut(_apart(pairs.join(now, ["u", "v"], "left_anti"), groups), "pairs")
             if pairs.isEmpty():
@@ -596,7 +603,7 @@ def _near_copies(docs: DataFrame, similarity: float, shard_rows: int) -> DataFra
     # what shards don't offer: pairs of two groups whose prefixes meet
     now = cut(_rest(_labelled(posts, groups), similarity).join(tried, ["u", "v"], "left_anti"), "met")
     if not now.isEmpty() and not (found := checked(now)).isEmpty():
-        groups = components(groups.unionByName(found))
+        groups = components(groups.unionByName(found), settled)
     groups = groups.withColumnsRenamed({"u": "vertex", "v": "label"})
     labelled = distinct.join(groups, "vertex", "left").select("print", F.coalesce("label", "vertex").alias("label"))
     return prints.select("doc_id", "file", "row", "print").join(labelled, "print").select("doc_id", "file", "row", "label")

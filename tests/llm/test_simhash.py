@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestar.llm import simhash
+from lodestar.llm import common, simhash
 from lodestar.llm.components import components
 
 from .helpers import DOCUMENTS, documents, rows_of
@@ -201,3 +201,20 @@ def test_pairs_that_only_share_common_shingles_are_not_checked(spark):
     assert simhash._rest(live, 0.8).count() == 0
     near = [(v, 100, at, (v * 100 + at if at < 11 else at), v) for v in range(3) for at in range(21)]
     assert simhash._rest(spark.createDataFrame([(*r, None, None) for r in near], live.schema), 0.8).count() == 3
+
+
+def test_the_driver_settles_between_rounds(spark, tmp_path, monkeypatch):
+    """The stage of the pipeline with most jobs gives the driver's memory back on its way, not at its end alone; and giving back does."""
+    calls = []
+    monkeypatch.setattr(simhash, "settle", lambda s: calls.append(s))
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:58], f"end{i}"]), None, None, None, None, None) for i in range(3)]
+    docs = documents(spark, tmp_path, rows)
+    assert simhash.near_copies(docs.select("doc_id", "text", *common.locator(docs))).select("label").distinct().count() == 1
+    assert len(calls) > 5
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    jvm.java.lang.String.valueOf("x" * 10_000_000)
+    before = runtime.totalMemory() - runtime.freeMemory()
+    common.settle(spark)
+    assert runtime.totalMemory() - runtime.freeMemory() < before - 5_000_000
